@@ -71,6 +71,11 @@ def _seeds_settled_at_once(checks: list[Check]) -> bool:
     return len(checks) == 1 and checks[0].name in (O.OFFSET, O.SENDER_WATERMARK)
 
 
+def record_columns(checks: list[Check]) -> list[str]:
+    """Normalised columns, and what custom checks read besides."""
+    return list(dict.fromkeys(NORMALISED + [c for check in checks for c in check.columns]))
+
+
 def verify_chain(normalised: DataFrame, checks: list[Check] | None = None,
                  chunk_rows: int = CHUNK_ROWS, state: DataFrame | None = None,
                  keep_state: bool = False) -> ChainRun:
@@ -80,10 +85,9 @@ def verify_chain(normalised: DataFrame, checks: list[Check] | None = None,
     their order. ``state`` is the end state of an earlier run to go on from.
     """
     checks = sorted(checks or default_checks(), key=lambda c: c.priority)
-    wanted = dict.fromkeys(NORMALISED + [c for check in checks for c in check.columns])
-    cut = split_into_chunks(normalised.select(*wanted), chunk_rows)
+    cut = split_into_chunks(normalised.select(*record_columns(checks)), chunk_rows)
     if cut.chunks <= 1 and state is None and not keep_state:
-        return ChainRun(_with_outcomes(fold_verdicts(cut.df, None, checks), checks), 1, cut.chunks)
+        return ChainRun(with_outcomes(fold_verdicts(cut.df, None, checks), checks), 1, cut.chunks)
 
     spark = normalised.sparkSession
     parallel = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -106,7 +110,7 @@ def verify_chain(normalised: DataFrame, checks: list[Check] | None = None,
         again = fold_effects(_only(rows, changed, n), _only(current, changed, n), checks)
         effects = materialise(again.unionByName(_only(effects, changed, n, "left_anti")), "effects")
         passes += 1
-    verdicts = _with_outcomes(fold_verdicts(rows, current, checks), checks)
+    verdicts = with_outcomes(fold_verdicts(rows, current, checks), checks)
     end = _end_state(seeds, effects.unionByName(before)) if keep_state else None
     return ChainRun(verdicts, passes, cut.chunks, end)
 
@@ -126,7 +130,7 @@ def _end_state(seeds: DataFrame, effects: DataFrame) -> DataFrame:
                     nothing.cast("string").alias("used"), "effect", "stores", "clock"))
 
 
-def _with_outcomes(judged: DataFrame, checks: list[Check]) -> DataFrame:
+def with_outcomes(judged: DataFrame, checks: list[Check]) -> DataFrame:
     """Verdict, outcome class of every check that ran, and the reason of a rejection."""
     place = {check.name: i for i, check in enumerate(checks)}
     threshold = next((c.threshold_ms for c in checks if isinstance(c, SenderWatermark)), 0)

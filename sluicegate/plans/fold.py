@@ -27,15 +27,11 @@ EFFECT_SCHEMA = from_arrow_schema(_EFFECT_ARROW)
 SEED_SCHEMA = from_arrow_schema(_SEED_ARROW)
 
 
-def _open_gates(rows: pa.Table, seeds: pa.Table | None, checks: list[Check]) -> list:
-    by_check: dict[str, dict[str, str | None]] = {check.name: {} for check in checks}
-    if seeds is not None:
-        for name, key, seed in zip(*[seeds.column(c).to_pylist() for c in ("check", "key", "seed")]):
-            by_check[name][key] = seed
-    return [check.gate(rows, by_check[check.name]) for check in checks]
+def open_gates(rows: pa.Table, seeds: dict[str, dict], checks: list[Check]) -> list:
+    return [check.gate(rows, seeds.get(check.name, {})) for check in checks]
 
 
-def _walk(n: int, gates: list) -> list[int]:
+def walk(n: int, gates: list) -> list[int]:
     """Per row the number of gates passed; rows that pass all move every state."""
     passed = []
     for i in range(n):
@@ -51,29 +47,43 @@ def _walk(n: int, gates: list) -> list[int]:
     return passed
 
 
-def _verdict_table(rows: pa.Table, seeds: pa.Table | None, checks: list[Check]) -> pa.Table:
-    rows = rows.sort_by("arrival_seq")
-    gates = _open_gates(rows, seeds, checks)
-    passed = _walk(rows.num_rows, gates)
-    names = pa.array([check.name for check in checks] + [None], pa.string())
+def verdict_columns(rows: pa.Table, passed: list[int], gates: list,
+                    checks: list[Check]) -> pa.Table:
     last = len(checks)
+    names = pa.array([check.name for check in checks] + [None], pa.string())
     prev = {check.name: gate.prev for check, gate in zip(checks, gates) if hasattr(gate, "prev")}
     blank = [None] * rows.num_rows
-    return (rows
-            .append_column("failed_by", names.take(pa.array(passed)))
-            .append_column("n_checked", pa.array([p + 1 if p < last else last for p in passed],
-                                                 pa.int32()))
-            .append_column("prev_offset", pa.array(prev.get(OFFSET, blank), pa.int64()))
-            .append_column("prev_watermark", pa.array(prev.get(SENDER_WATERMARK, blank),
-                                                      pa.int64())))
+    columns = {
+        "failed_by": names.take(pa.array(passed, pa.int64())),
+        "n_checked": pa.array([p + 1 if p < last else last for p in passed], pa.int32()),
+        "prev_offset": pa.array(prev.get(OFFSET, blank), pa.int64()),
+        "prev_watermark": pa.array(prev.get(SENDER_WATERMARK, blank), pa.int64()),
+    }
+    for name, values in columns.items():
+        rows = rows.append_column(name, values)
+    return rows
+
+
+def _seeds_by_check(seeds: pa.Table | None) -> dict[str, dict]:
+    by_check: dict[str, dict] = {}
+    if seeds is not None:
+        for name, key, seed in zip(*[seeds.column(c).to_pylist() for c in ("check", "key", "seed")]):
+            by_check.setdefault(name, {})[key] = seed
+    return by_check
+
+
+def _verdict_table(rows: pa.Table, seeds: pa.Table | None, checks: list[Check]) -> pa.Table:
+    rows = rows.sort_by("arrival_seq")
+    gates = open_gates(rows, _seeds_by_check(seeds), checks)
+    return verdict_columns(rows, walk(rows.num_rows, gates), gates, checks)
 
 
 def _effect_table(rows: pa.Table, seeds: pa.Table | None, checks: list[Check]) -> pa.Table:
     if not rows.num_rows:
         return _EFFECT_ARROW.empty_table()
     rows = rows.sort_by("arrival_seq")
-    gates = _open_gates(rows, seeds, checks)
-    _walk(rows.num_rows, gates)
+    gates = open_gates(rows, _seeds_by_check(seeds), checks)
+    walk(rows.num_rows, gates)
     chunk = rows.column("chunk")[0].as_py()
     out = [(chunk, check.name, *effect, None, None)
            for check, gate in zip(checks, gates) for effect in gate.effects()]
