@@ -13,11 +13,13 @@ from .operators import normalize as N
 from .operators.chain import verify_chain
 from .plans.checks import CustomCheck, default_checks
 from .plans.scratch import new_path
-from .sources.envelope import RECORD_SCHEMA, stream_records
+from .sources.envelope import RECORD_SCHEMA, stream_records, verdict_stream
 from .sources.records import load_records
 from .streaming.consumer import Consumer
+from .streaming.lanes import verify_stream
 
 HOUR_MS = 3_600_000
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 SMALL_CHUNK = 2_000  # makes the chain cut even small folders into several chunks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -479,3 +481,21 @@ def _(spark, sf_dir):
          .write.mode("append").parquet(f"{path}/in"))
         consumer.start(stream_records(spark, f"{path}/in")).awaitTermination()
     return _place(consumer.verdicts(spark), *_VERDICT)
+
+
+@query("stream_lane_verify")
+def _(spark, sf_dir):
+    """One lane per topic partition with keyed state, and a key store that forgets nothing."""
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, ROCKSDB)
+    try:
+        path = new_path(spark, "lanes")
+        (_records(spark, sf_dir).select(*RECORD_SCHEMA.names).write.parquet(f"{path}/in"))
+        verdicts = verify_stream(stream_records(spark, f"{path}/in"),
+                                 checks=default_checks(cap=None, ttl_ms=None))
+        (verdict_stream(verdicts, f"{path}/out", f"{path}/checkpoint")
+         .trigger(availableNow=True).start().awaitTermination())
+    finally:
+        spark.conf.set(provider, before)
+    return _place(spark.read.parquet(f"{path}/out"), *_VERDICT)

@@ -107,6 +107,8 @@ def verify_chain(normalised: DataFrame, checks: list[Check] | None = None,
         n = changed.count()
         if n == 0 or _seeds_settled_at_once(checks):
             break
+        if passes > cut.chunks + 1:
+            raise RuntimeError("the chain does not settle: is arrival_seq unique and stable?")
         again = fold_effects(_only(rows, changed, n), _only(current, changed, n), checks)
         effects = materialise(again.unionByName(_only(effects, changed, n, "left_anti")), "effects")
         passes += 1

@@ -312,6 +312,7 @@ from n where sender_raw is not null and sender_ts is not null group by all"""),
         "chain_custom_check": _chain(
             "select arrival_seq, verdict, verified, failed_by from judged", custom=True),
         "stream_chain_verify": _chain(_VERDICTS),
+        "stream_lane_verify": _chain(_VERDICTS, cap=10**9, ttl=10**15),
         "accepted_records": _chain(
             f"select arrival_seq, part, off, sender_raw, sender_ts, message_id {accepted}"),
         "rejected_records": _chain("""

@@ -49,8 +49,10 @@ class _Keys:
             part = pa.chunked_array([*values.chunks, more], values.type).combine_chunks()
             encoded = part.dictionary_encode()
             missing |= encoded.is_null().to_numpy(zero_copy_only=False)
-            index = encoded.indices.fill_null(0).to_numpy().astype(np.int64)
-            codes = codes * max(1, len(encoded.dictionary)) + index
+            # Missing values get a code of their own, so no valid key shares one with them.
+            n_values = len(encoded.dictionary)
+            index = encoded.indices.fill_null(n_values).to_numpy().astype(np.int64)
+            codes = codes * (n_values + 1) + index
             _, first, codes = np.unique(codes, return_index=True, return_inverse=True)
             self.parts.append(part)
         self.size = len(first)

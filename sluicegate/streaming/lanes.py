@@ -102,5 +102,5 @@ def verify_stream(records: DataFrame, lane: str = "partition",
     keyed = rows.withColumn("lane", lane_column(lane))
     output = T.StructType(keyed.schema.fields + VERDICT_FIELDS)
     judged = keyed.groupBy("lane").transformWithState(
-        LaneProcessor(checks, keyed.schema), output, "Append", "processingTime")
+        LaneProcessor(checks, keyed.schema), output, "Append", "None")
     return with_outcomes(judged, checks).drop("lane")
