@@ -163,14 +163,15 @@ def _(spark, sf_dir):
 
 @query("watermark_verify_threshold")
 def _(spark, sf_dir):
-    judged = single.verify_watermarks(_normalised(spark, sf_dir), 6 * HOUR_MS, SMALL_CHUNK)
+    judged = single.verify_watermarks(_normalised(spark, sf_dir), 6 * HOUR_MS)
     return _place(judged, "arrival_seq", "prev_watermark", "verdict", "verified", "wm_outcome")
 
 
 @query("watermark_outcome_counts")
 def _(spark, sf_dir):
     return reports.outcome_counts(
-        single.verify_watermarks(_normalised(spark, sf_dir), 24 * HOUR_MS), "wm_outcome")
+        single.verify_watermarks(_normalised(spark, sf_dir), 24 * HOUR_MS, SMALL_CHUNK),
+        "wm_outcome")
 
 
 @query("uniqueness_verify")
@@ -347,8 +348,7 @@ def _(spark, sf_dir):
 
 @query("evict_by_time")
 def _(spark, sf_dir):
-    log = _log(spark, sf_dir)
-    return keystore.evict_by_time(keystore.upsert(log), 300_000, log)
+    return keystore.evict_by_time(keystore.upsert(_log(spark, sf_dir)), 300_000)
 
 
 @query("evict_by_size")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.headers import key_text
 from ..plans.checks import BLOOM_FPP, STORE_SIZE
+from ..plans.scratch import materialise
 
 # Fixed value: room for keys beyond the store's size.
 HEADROOM = 1.2
@@ -73,7 +74,7 @@ def build_bloom(store: DataFrame, cap: int = STORE_SIZE, fpp: float = BLOOM_FPP)
     filled = (every.join(bloom_words(store, shape), "word", "left")
               .select("word", F.coalesce("bits", F.lit(0).cast("bigint")).alias("bits")))
     ordered = F.array_sort(F.collect_list(F.struct("word", "bits")))
-    return Bloom(shape, filled.agg(ordered["bits"].alias("words")))
+    return Bloom(shape, materialise(filled.agg(ordered["bits"].alias("words")), "bloom"))
 
 
 def might_contain(bloom: Bloom) -> Column:

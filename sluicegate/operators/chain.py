@@ -91,8 +91,11 @@ def verify_chain(normalised: DataFrame, checks: list[Check] | None = None,
 
     spark = normalised.sparkSession
     parallel = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(1, min(cut.chunks, max(parallel, cut.chunks // 4)))
-    rows = materialise_bucketed(cut.df, "rows", buckets, "chunk")
+    buckets = min(cut.chunks, max(parallel, cut.chunks // 4))
+    if buckets > 1:
+        rows = materialise_bucketed(cut.df, "rows", buckets, "chunk")
+    else:
+        rows = materialise(cut.df, "rows")
 
     start = None
     if any(check.name == O.UNIQUENESS for check in checks):
@@ -103,11 +106,14 @@ def verify_chain(normalised: DataFrame, checks: list[Check] | None = None,
     while True:
         seeds = materialise(carry_effects(effects.unionByName(before), checks), "seeds")
         current = seeds.where(F.col("chunk") > STATE_CHUNK)
+        # A single chunk gets its seeds from the state alone, so its second walk is final.
+        if _seeds_settled_at_once(checks) or (cut.chunks == 1 and passes == 2):
+            break
         changed = current.where(~F.col("used").eqNullSafe(F.col("seed"))).select("chunk").distinct()
         n = changed.count()
-        if n == 0 or _seeds_settled_at_once(checks):
+        if n == 0:
             break
-        if passes > cut.chunks + 1:
+        if passes > cut.chunks:
             raise RuntimeError("the chain does not settle: is arrival_seq unique and stable?")
         again = fold_effects(_only(rows, changed, n), _only(current, changed, n), checks)
         effects = materialise(again.unionByName(_only(effects, changed, n, "left_anti")), "effects")

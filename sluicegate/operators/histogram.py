@@ -46,19 +46,30 @@ def log_bounds(n: int, low: float = LOG_MIN, high: float = TOP) -> list[float]:
     return [0.0, *[math.exp(math.log(low) + step * i) for i in range(1, n - 1)], math.inf]
 
 
-def bucket_index(value: Column, bounds: Sequence[float]) -> Column:
-    """Index of the first bound that is not below ``value``, as nested comparisons.
+def with_buckets(df: DataFrame, value: str, sets: dict[str, Sequence[float]]) -> DataFrame:
+    """Add, per named bound set, the index of the first bound that is not below ``value``.
 
-    A binary search of the bounds that stays in generated code; NULL for NULL and NaN.
+    The index is found by a binary search, one narrow projection per halving, so the code
+    generated for it stays small however many bounds there are. ``value`` must be a number;
+    bounds must rise and end with infinity.
     """
-    def search(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(low)
-        middle = (low + high) // 2
-        return F.when(value <= F.lit(bounds[middle]), search(low, middle)).otherwise(
-            search(middle + 1, high))
+    halvings = max(len(bounds) - 1 for bounds in sets.values()).bit_length()
+    size = 1 << halvings
+    tables = {name: F.array(*[F.lit(float(b)) for b in bounds],
+                            *[F.lit(math.inf)] * (size - len(bounds)))
+              for name, bounds in sets.items()}
+    df = df.withColumns({name: F.lit(0) for name in sets})
+    for step in (1 << i for i in reversed(range(halvings))):
+        df = df.withColumns({
+            name: F.col(name) + F.when(F.get(table, F.col(name) + F.lit(step - 1)) < F.col(value),
+                                       F.lit(step)).otherwise(F.lit(0))
+            for name, table in tables.items()})
+    return df
 
-    return F.when(value.isNotNull() & ~F.isnan(value), search(0, len(bounds) - 1))
+
+def _numbers(df: DataFrame, value: Column) -> DataFrame:
+    return (df.select(value.cast("double").alias("_value"))
+            .where(F.col("_value").isNotNull() & ~F.isnan("_value")))
 
 
 def bounds_table(df: DataFrame, bounds: Sequence[float]) -> DataFrame:
@@ -70,9 +81,7 @@ def bounds_table(df: DataFrame, bounds: Sequence[float]) -> DataFrame:
 
 def histogram(df: DataFrame, value: Column, bounds: Sequence[float]) -> DataFrame:
     """Rows per bucket; empty buckets are kept, NULL and NaN are not counted."""
-    counts = (df.select(value.cast("double").alias("_value"))
-              .select(bucket_index(F.col("_value"), bounds).alias("bucket"))
-              .where(F.col("bucket").isNotNull())
+    counts = (with_buckets(_numbers(df, value), "_value", {"bucket": bounds})
               .groupBy("bucket").agg(F.count("*").alias("n")))
     return (bounds_table(df, bounds).join(counts, "bucket", "left")
             .withColumn("n", F.coalesce("n", F.lit(0).cast("bigint"))))
@@ -81,12 +90,10 @@ def histogram(df: DataFrame, value: Column, bounds: Sequence[float]) -> DataFram
 def compare_bounds(df: DataFrame, value: Column,
                    methods: dict[str, Sequence[float]]) -> DataFrame:
     """How well each bound set spreads a column, from one scan of it."""
-    names = list(methods)
-    indexes = F.array(*[F.struct(F.lit(name).alias("method"),
-                                 bucket_index(F.col("_value"), methods[name]).alias("bucket"))
-                        for name in names])
-    counts = (df.select(value.cast("double").alias("_value"))
-              .where(F.col("_value").isNotNull() & ~F.isnan("_value"))
+    columns = {f"_{i}": bounds for i, bounds in enumerate(methods.values())}
+    indexes = F.array(*[F.struct(F.lit(name).alias("method"), F.col(column).alias("bucket"))
+                        for name, column in zip(methods, columns)])
+    counts = (with_buckets(_numbers(df, value), "_value", columns)
               .select(F.explode(indexes).alias("b"))
               .groupBy("b.method", "b.bucket").agg(F.count("*").alias("n")))
     spread = counts.groupBy("method").agg(

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..plans.arrival import CHUNK_ROWS
 from ..plans.checks import BLOOM_FPP, STORE_SIZE, STORE_TTL_MS
+from ..plans.scratch import materialise
 from .bloom import build_bloom, might_contain
 
 KEY = ["sender_key", "message_id"]
@@ -32,13 +33,9 @@ def remove(store: DataFrame, keys: DataFrame) -> DataFrame:
     return store.join(keys.select(*KEY), KEY, "left_anti")
 
 
-def evict_by_time(store: DataFrame, ttl_ms: int = STORE_TTL_MS,
-                  log: DataFrame | None = None) -> DataFrame:
-    """Drop keys that are older than ``ttl_ms`` at the last store; an equal age stays.
-
-    The time of the last store is read from ``log`` if it is given, which needs no shuffle.
-    """
-    last_store = (log if log is not None else store).agg(F.max("stored_ms")).scalar()
+def evict_by_time(store: DataFrame, ttl_ms: int = STORE_TTL_MS) -> DataFrame:
+    """Drop keys that are older than ``ttl_ms`` at the last store; an equal age stays."""
+    last_store = store.agg(F.max("stored_ms")).scalar()
     return store.where(last_store - F.col("stored_ms") <= ttl_ms)
 
 
@@ -60,8 +57,11 @@ def evict_by_size(store: DataFrame, cap: int = STORE_SIZE,
 
 
 def live_keys(log: DataFrame, cap: int = STORE_SIZE, ttl_ms: int = STORE_TTL_MS) -> DataFrame:
-    """The store after the whole log: age first, then size."""
-    return evict_by_size(evict_by_time(upsert(log), ttl_ms, log), cap)
+    """The store after the whole log: age first, then size.
+
+    Both evictions look at the whole store before they filter it, so it is written once.
+    """
+    return evict_by_size(evict_by_time(materialise(upsert(log), "store"), ttl_ms), cap)
 
 
 def size(store: DataFrame) -> DataFrame:
@@ -80,7 +80,8 @@ def exists(keys: DataFrame, store: DataFrame, prefilter: str = "none", cap: int
         return _flagged(keys, stored)
     if prefilter != "bloom":
         raise ValueError(f"unknown prefilter {prefilter!r}")
-    bloom = build_bloom(store, cap, fpp)
+    stored = materialise(stored, "stored")
+    bloom = build_bloom(stored, cap, fpp)
     if bloom is None:
         return _flagged(keys, stored)
     probed = keys.withColumn("_maybe", might_contain(bloom))
