@@ -7,8 +7,8 @@ a later chunk starts with. Seeds and effects travel as JSON text.
 
 from __future__ import annotations
 
+import bisect
 import json
-import math
 from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Any
@@ -29,6 +29,10 @@ UNIQUENESS_PRIORITY = 0
 OFFSET_PRIORITY = 1
 WATERMARK_PRIORITY = 2
 
+# Longest effect of one key; beyond it the effect holds for the seed used only, which costs
+# further passes but no exactness.
+MAX_ENDS = 4_096
+
 
 def _dumps(value: Any) -> str | None:
     return None if value is None else json.dumps(value)
@@ -83,6 +87,12 @@ class _Gate:
             self.state[code] = None if text is None else json.loads(text)
         self.done = [None] * keys.size
 
+    def turned_away(self, i: int, later: list) -> None:
+        """Called when this gate rejects a row; ``later`` are the gates not asked."""
+
+    def would_admit(self, i: int) -> bool:
+        return self.admits(i)
+
     def effects(self):
         """(key, seed used, effect) of every key that the chunk touches."""
         for code in self.keys.in_rows:
@@ -90,16 +100,24 @@ class _Gate:
 
 
 class _StoreGate(_Gate):
-    """Bounded key store; stores are numbered, seeds have numbers up to zero."""
+    """Bounded key store; stores are numbered, seeds have numbers up to zero.
+
+    Keys that other chunks have too are watched: for each of their records that only this
+    check may reject, the gate notes the stores so far and their clock. From that follows
+    where a chain of stores that starts at such a record ends, so the effect tells the end
+    for every seed and not just for the one the chunk was walked with.
+    """
 
     def __init__(self, check: Uniqueness, rows: pa.Table, seeds):
         super().__init__(_Keys(rows, ("sender_key", "message_id"), list(seeds)), seeds)
-        self.cap = math.inf if check.cap is None else check.cap
-        self.ttl = math.inf if check.ttl_ms is None else check.ttl_ms
+        self.check = check
         self.times = _integers(rows, "ingest_ms")
         self.stores = 0
         self.clock = None
         self.seed_texts = list(seeds)
+        self.copies: list[list | None] = [None] * self.keys.size
+        for code in self.keys.seeds:
+            self.copies[code] = []
         for code, seed in enumerate(self.state):
             if seed is not None:
                 age, time, clock = seed
@@ -109,23 +127,52 @@ class _StoreGate(_Gate):
     def admits(self, i: int) -> bool:
         code = self.row_keys[i]
         stored = self.state[code] if code >= 0 else None
-        if stored is None:
-            return True
-        number, time = stored
-        return self.stores - number >= self.cap or self.clock - time > self.ttl
+        return stored is None or self.check.is_dead(*stored, self.stores, self.clock)
+
+    def turned_away(self, i: int, later: list) -> None:
+        code = self.row_keys[i]
+        if self.copies[code] is not None and all(gate.would_admit(i) for gate in later):
+            self.copies[code].append((self.stores, self.clock, self.times[i]))
 
     def commit(self, i: int) -> None:
         code = self.row_keys[i]
         if code >= 0:
+            if self.copies[code] is not None:
+                self.copies[code].append((self.stores, self.clock, self.times[i]))
             self.stores += 1
             self.clock = self.times[i]
             self.state[code] = (self.stores, self.clock)
 
     def effects(self):
-        """Only keys that other chunks have too; those come with the seeds."""
         for text, code in zip(self.seed_texts, self.keys.seeds):
-            stored = self.state[code]
-            yield text, self.used[code], _dumps(stored if stored and stored[0] > 0 else None)
+            yield text, self.used[code], _dumps(self._effect(code))
+
+    def _effect(self, code: int) -> list | None:
+        ends = self._ends(self.copies[code])
+        if len(ends) <= MAX_ENDS:
+            return ends or None
+        number, time = self.state[code]
+        return [number, time] if number > 0 else None
+
+    def _ends(self, copies: list[tuple]) -> list[list]:
+        """[stores, clock, number, time]: a seed first found dead there ends as that store."""
+        ends: list = [None] * len(copies)
+        after = len(copies)
+        for at in range(len(copies) - 1, -1, -1):
+            stores, _, time = copies[at]
+            while after - 1 > at and self.check.is_dead(stores + 1, time, *copies[after - 1][:2]):
+                after -= 1
+            ends[at] = ends[after] if after < len(copies) else (stores + 1, time)
+        kept = []
+        for at, (stores, clock, _) in enumerate(copies):
+            # Seeds die in the order of their age, so of equal ends the last entry is enough.
+            if at + 1 == len(copies) or ends[at] != ends[at + 1]:
+                kept.append([stores, clock, *ends[at]])
+            if clock is not None and self.check.is_dead(0, self.times[0], stores, clock):
+                if not kept or kept[-1][:2] != [stores, clock]:
+                    kept.append([stores, clock, *ends[at]])
+                break
+        return kept
 
 
 class _LimitGate(_Gate):
@@ -152,6 +199,11 @@ class _LimitGate(_Gate):
         self._extend(code, self.values[i])
         return False
 
+    def would_admit(self, i: int) -> bool:
+        code = self.row_keys[i]
+        prev = self.state[code] if code >= 0 else None
+        return prev is None or prev <= self.values[i] + self.slack
+
     def commit(self, i: int) -> None:
         code = self.row_keys[i]
         if code >= 0:
@@ -189,7 +241,7 @@ class _Limited:
     def seed(self, state, base, clock):
         return state
 
-    def after(self, state, effect, base):
+    def after(self, state, effect, base, clock):
         if effect is None:
             return state
         limit, last = effect
@@ -218,16 +270,27 @@ class Uniqueness:
     def gate(self, rows, seeds):
         return _StoreGate(self, rows, seeds)
 
+    def is_dead(self, number: int, time: int, stores: int, clock: int) -> bool:
+        """Whether store ``number`` made at ``time`` is forgotten after ``stores`` stores."""
+        return (self.cap is not None and stores - number >= self.cap) or (
+            self.ttl_ms is not None and clock - time > self.ttl_ms)
+
     def seed(self, state, base, clock):
-        if state is None:
+        if state is None or self.is_dead(*state, base, clock):
             return None
         number, time = state
-        age = base - number
-        expired = self.ttl_ms is not None and clock - time > self.ttl_ms
-        return None if expired or (self.cap is not None and age >= self.cap) else [age, time, clock]
+        return [base - number, time, clock]
 
-    def after(self, state, effect, base):
-        return state if effect is None else [base + effect[0], effect[1]]
+    def after(self, state, effect, base, clock):
+        if effect is None:
+            return state
+        if not isinstance(effect[0], list):
+            return [base + effect[0], effect[1]]
+        at = 0
+        if state is not None:
+            at = bisect.bisect_left(effect, True, key=lambda end: self.is_dead(
+                *state, base + end[0], clock if end[1] is None else end[1]))
+        return state if at == len(effect) else [base + effect[at][2], effect[at][3]]
 
     def as_effect(self, state):
         return state
@@ -294,7 +357,7 @@ class CustomCheck:
     def seed(self, state, base, clock):
         return state
 
-    def after(self, state, effect, base):
+    def after(self, state, effect, base, clock):
         return state if effect is None else effect
 
     def as_effect(self, state):

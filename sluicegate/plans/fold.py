@@ -38,6 +38,7 @@ def walk(n: int, gates: list) -> list[int]:
         count = 0
         for gate in gates:
             if not gate.admits(i):
+                gate.turned_away(i, gates[count + 1:])
                 break
             count += 1
         else:
@@ -127,7 +128,7 @@ def _carry(checks: list[Check]):
                 rule = rules[row["check"]]
                 seed = rule.seed(state, row["base"], row["clock_in"])
                 effect = None if row["effect"] is None else json.loads(row["effect"])
-                state = rule.after(state, effect, row["base"])
+                state = rule.after(state, effect, row["base"], row["clock_in"])
                 out.append({
                     "chunk": row["chunk"], "check": row["check"], "key": row["key"],
                     "used": row["used"],

@@ -65,7 +65,8 @@ class LaneProcessor(StatefulProcessor):
         for check, gate in zip(self.checks, gates):
             for text, _, effect in gate.effects():
                 if effect is not None:
-                    after = check.after(before[check.name, text], json.loads(effect), stores)
+                    after = check.after(before[check.name, text], json.loads(effect), stores,
+                                        clock)
                     self.states.updateValue((check.name, text),
                                             (json.dumps(check.as_effect(after)),))
         for check, gate in zip(self.checks, gates):
@@ -78,7 +79,7 @@ class LaneProcessor(StatefulProcessor):
 
     def _state(self, check: Check, text: str):
         stored = self.states.getValue((check.name, text))
-        return None if stored is None else check.after(None, json.loads(stored[0]), 0)
+        return None if stored is None else check.after(None, json.loads(stored[0]), 0, None)
 
     def _forget(self, check: Check, stores: int, clock: int) -> None:
         """Remove stored ids that are no longer live, once per micro-batch."""

@@ -84,6 +84,36 @@ def test_random_equals_model(make_records, seed, chunk_rows, threshold, cap, ttl
     assert got == offsets
 
 
+@pytest.mark.parametrize("cap, ttl", [(40, 10**9), (10**9, 3_000)])
+def test_hot_expiring_id_settles_in_few_passes(spark, cap, ttl):
+    """One id in a third of the records is accepted again and again across all chunks."""
+    i, hot = F.col("id"), F.xxhash64("id") % 3 == 0
+    sender = F.when(hot, "hot").otherwise(F.concat(F.lit("s"), i % 20))
+    rows = spark.range(6_000).select(
+        i.alias("arrival_seq"), F.lit("t").alias("topic"), (i % 2).cast("int").alias("partition"),
+        i.alias("offset"), sender.alias("sender_raw"), sender.alias("sender_key"),
+        F.lit(True).alias("time_given"), (i * 10).alias("sender_ts"), F.lit(True).alias("id_given"),
+        F.when(hot, "h").otherwise(i.cast("string")).alias("message_id"),
+        (i * 10).alias("ingest_ms"))
+    model = [{"lane": r.partition, "off": r.offset, "flow": (r.sender_raw, r.partition),
+              "ts": r.sender_ts, "key": (r.sender_key, r.message_id), "ingest": r.ingest_ms}
+             for r in rows.orderBy("arrival_seq").collect()]
+    want, *_ = judge(model, 0, cap, ttl)
+    run = verify_chain(rows, default_checks(0, cap, ttl), 250)
+    assert run.chunks == 24 and run.passes <= 7
+    assert in_order(run.verdicts, "failed_by") == want
+    assert want.count("uniqueness") > 1_500
+
+
+def test_long_effects_fall_back(make_records, monkeypatch):
+    from sluicegate.plans import checks
+    monkeypatch.setattr(checks, "MAX_ENDS", 0)
+    rows = random_rows(3, 200, 3, 30, 0.33)
+    want, *_ = judge(as_model(rows), 150, 20, 60)
+    run = verify_chain(normalise(make_records(rows)), default_checks(150, 20, 60), 40)
+    assert in_order(run.verdicts, "failed_by") == want
+
+
 def test_state_goes_on(make_records):
     rows = random_rows(7, 200, 3, 30)
     want, *_ = judge(as_model(rows), 50, 15, 200)
