@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.arrival import CHUNK_ROWS
+from ..plans.arrival import CHUNK_ROWS, chunk_column
 from ..plans.checks import BLOOM_FPP, STORE_SIZE, STORE_TTL_MS
 from ..plans.scratch import materialise
 from .bloom import build_bloom, might_contain
@@ -46,7 +46,7 @@ def evict_by_size(store: DataFrame, cap: int = STORE_SIZE,
     Counts per chunk of the store order tell from which chunk on the newest keys come, so
     the final sort sees little more than ``cap`` rows and not ``cap`` rows of every task.
     """
-    chunk = F.floor(F.col("stored_seq") / chunk_rows)
+    chunk = chunk_column("stored_seq", 0, chunk_rows)
     newer = Window.orderBy(F.desc("chunk")).rowsBetween(Window.unboundedPreceding, -1)
     first_chunk = (store.groupBy(chunk.alias("chunk")).agg(F.count("*").alias("n"))
                    .withColumn("newer", F.coalesce(F.sum("n").over(newer), F.lit(0)))

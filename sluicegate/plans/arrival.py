@@ -46,8 +46,9 @@ class Chunked:
     rows: int
 
 
-def chunk_column(seq: Column, first: int, chunk_rows: int) -> Column:
-    return F.floor((seq - F.lit(first)) / F.lit(chunk_rows)).cast("bigint")
+def chunk_column(seq: str, first: int, chunk_rows: int) -> Column:
+    """Number of the chunk of column ``seq``, by whole-number division."""
+    return F.expr(f"({seq} - {first}L) div {chunk_rows}L")
 
 
 def split_into_chunks(records: DataFrame, chunk_rows: int = CHUNK_ROWS) -> Chunked:
@@ -62,9 +63,9 @@ def split_into_chunks(records: DataFrame, chunk_rows: int = CHUNK_ROWS) -> Chunk
         return Chunked(records.withColumn("chunk", F.lit(0).cast("bigint")), 0, 0)
     span = stats["hi"] - stats["lo"] + 1
     if span <= chunk_rows or span <= _MAX_GAP * stats["n"]:
-        seq, lo, records_in = F.col("arrival_seq"), stats["lo"], records
+        seq, lo, records_in = "arrival_seq", stats["lo"], records
     else:
         records_in = assign_arrival_seq(records, ["arrival_seq"], out="_dense")
-        seq, lo, span = F.col("_dense"), 0, stats["n"]
+        seq, lo, span = "_dense", 0, stats["n"]
     chunked = records_in.withColumn("chunk", chunk_column(seq, lo, chunk_rows)).drop("_dense")
     return Chunked(chunked, -(-span // chunk_rows), stats["n"])

@@ -50,7 +50,7 @@ def derive_records(events: DataFrame, senders: int = 50, partitions: int = 4,
     ordered = assign_arrival_seq(sent, ["ak", "event_id", "kind"])
     fresh = F.when(F.col("kind") != 2, 1).otherwise(0)
     numbered = running_before(
-        ordered.withColumn("chunk", chunk_column(F.col("arrival_seq"), 0, chunk_rows)),
+        ordered.withColumn("chunk", chunk_column("arrival_seq", 0, chunk_rows)),
         ["part"], fresh, "_earlier", F.sum)
     off0 = F.coalesce("_earlier", F.lit(0)) + fresh - 1
     numbered = numbered.withColumn("off0", off0)
