@@ -14,6 +14,11 @@ MESSAGE_ID = "message_id"
 UUID_PART_WIDTHS = (8, 4, 4, 4, 12)
 UUID_TEXT_LENGTH = 36
 
+# Readable forms of the keys.
+KEY_TEXT_SEPARATOR = ":"
+SENDER_PARTITION_FORMAT = "SenderPartitionKey{sender='%s', topic='%s', partition=%d}"
+SENDER_MESSAGE_FORMAT = "SenderMessageIdKey{sender='%s', messageId=%s}"
+
 _BLANKS = "".join(chr(c) for c in range(0x21))
 _DECIMAL = r"\A[+-]?[0-9]+\z"
 _CANONICAL_UUID = r"\A[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\z"
@@ -76,15 +81,14 @@ def uuid_canonical(text: Column) -> Column:
 def key_text(sender_key: Column, message_id: Column) -> Column:
     """``sender:uuid`` form of a uniqueness key; NULL unless both parts are there."""
     return F.when(sender_key.isNotNull() & message_id.isNotNull(),
-                  F.concat(sender_key, F.lit(":"), message_id))
+                  F.concat(sender_key, F.lit(KEY_TEXT_SEPARATOR), message_id))
 
 
 def sender_partition_text(sender: Column, topic: Column, partition: Column) -> Column:
     """Readable form of a watermark key."""
-    return F.format_string("SenderPartitionKey{sender='%s', topic='%s', partition=%d}",
-                           sender, topic, partition)
+    return F.format_string(SENDER_PARTITION_FORMAT, sender, topic, partition)
 
 
 def sender_message_text(sender: Column, message_id: Column) -> Column:
     """Readable form of a uniqueness key."""
-    return F.format_string("SenderMessageIdKey{sender='%s', messageId=%s}", sender, message_id)
+    return F.format_string(SENDER_MESSAGE_FORMAT, sender, message_id)
