@@ -7,6 +7,7 @@ temporary folder of its own.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -47,6 +48,52 @@ def materialise_bucketed(df: DataFrame, name: str, buckets: int, key: str) -> Da
     return spark.table(table)
 
 
+class Scratch:
+    """Scratch tables of one job under short names, deleted when they are no longer needed.
+
+    Whatever is left is deleted when the application ends.
+    """
+
+    def __init__(self, spark: SparkSession, job: str):
+        self.spark, self.job = spark, job
+        self._paths: dict[str, str] = {}
+
+    def path(self, name: str) -> str:
+        """A new folder that this job owns."""
+        self.drop(name)
+        self._paths[name] = path = new_path(self.spark, f"{self.job}-{name}")
+        where, files = _hadoop(self.spark, path)
+        files.deleteOnExit(where)
+        return path
+
+    def keep(self, name: str, df: DataFrame) -> DataFrame:
+        """Write ``df`` and read it back; an older table of that name is deleted."""
+        older = self._paths.pop(name, None)
+        path = self.path(name)
+        df.write.parquet(path)
+        self._delete(older)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            self._delete(self._paths.pop(name, None))
+
+    def free_shuffles(self) -> None:
+        """Let Spark's cleaner remove the shuffle files of finished steps now."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
+    def _delete(self, path: str | None) -> None:
+        if path:
+            where, files = _hadoop(self.spark, path)
+            files.delete(where, True)
+
+
+def _hadoop(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def drop_scratch_tables(spark: SparkSession) -> int:
     """Forget the catalogue entries of bucketed scratch tables; call it when results are saved."""
     names = [t.name for t in spark.catalog.listTables() if t.name.startswith("sluicegate_")]
