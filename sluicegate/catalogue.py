@@ -13,6 +13,7 @@ from .operators import normalize as N
 from .operators.chain import verify_chain
 from .plans.checks import CustomCheck, default_checks
 from .plans.scratch import new_path
+from .sources import kafka
 from .sources.envelope import RECORD_SCHEMA, stream_records, verdict_stream
 from .sources.records import load_records
 from .streaming.consumer import Consumer
@@ -190,6 +191,12 @@ def _(spark, sf_dir):
     return single.verify_uniqueness_expiring(_normalised(spark, sf_dir), 10_000, 100_000)
 
 
+@query("uniqueness_expiring_chunked")
+def _(spark, sf_dir):
+    return single.verify_uniqueness_expiring(_normalised(spark, sf_dir), 10_000, 100_000,
+                                             SMALL_CHUNK)
+
+
 @query("stored_offsets_last")
 def _(spark, sf_dir):
     return _place(single.stored_offsets(_normalised(spark, sf_dir)),
@@ -223,6 +230,11 @@ def _(spark, sf_dir):
     return _place(_judged(spark, sf_dir, cap=100), *_VERDICT)
 
 
+@query("chain_small_store_chunked")
+def _(spark, sf_dir):
+    return _place(_judged(spark, sf_dir, cap=100, chunk_rows=SMALL_CHUNK), *_VERDICT)
+
+
 @query("chain_verify_threshold")
 def _(spark, sf_dir):
     return _place(_judged(spark, sf_dir, threshold_ms=6 * HOUR_MS, chunk_rows=SMALL_CHUNK),
@@ -244,18 +256,27 @@ def _keep_class(row, state):
     return row["value_class"]
 
 
-@query("chain_custom_check")
-def _(spark, sf_dir):
+def _custom(spark, sf_dir, **options):
     """A check of its own before the others: a key must not repeat its last accepted class."""
     records = _records(spark, sf_dir)
     value_class = F.floor(F.col("value").cast("double") / 50).cast("int")
     rows = N.normalise(records.withColumn("value_class", value_class), "value_class")
     repeats = CustomCheck("value_repeat", -1, ("sender_raw",), _odd_last, _keep_class,
                           ("value_class",))
-    run = verify_chain(rows, [*default_checks(), repeats])
+    run = verify_chain(rows, [*default_checks(), repeats], **options)
     return _place(run.verdicts, "arrival_seq", "verdict", "verified", "failed_by")
 
 
+@query("chain_custom_check")
+def _(spark, sf_dir):
+    return _custom(spark, sf_dir)
+
+
+@query("chain_custom_check_chunked")
+def _(spark, sf_dir):
+    return _custom(spark, sf_dir, chunk_rows=SMALL_CHUNK)
+
+
 @query("accepted_records")
 def _(spark, sf_dir):
     return _place(reports.accepted(_judged(spark, sf_dir)), "arrival_seq", "partition", "offset",
@@ -270,9 +291,27 @@ def _(spark, sf_dir):
 
 @query("accepted_payload")
 def _(spark, sf_dir):
-    judged = reports.accepted(_judged(spark, sf_dir))
-    return _place(reports.with_payload(_records(spark, sf_dir), judged), "arrival_seq",
-                  "partition", "offset", "key", "value", "verdict")
+    return _place(reports.accepted_payload(_records(spark, sf_dir), _judged(spark, sf_dir)),
+                  "arrival_seq", "partition", "offset", "key", "value", "verdict")
+
+
+def _topic_rows(spark, sf_dir):
+    """The records as a Kafka source gives them: bytes, broker time, no number of ours."""
+    return _records(spark, sf_dir).select(
+        F.col("key").cast("binary").alias("key"), F.col("value").cast("binary").alias("value"),
+        "topic", "partition", "offset", "timestamp", "headers")
+
+
+@query("topic_round_trip")
+def _(spark, sf_dir):
+    """From topic rows through the chain to the rows of a topic of accepted records."""
+    records = kafka.in_arrival_order(kafka.as_records(_topic_rows(spark, sf_dir)))
+    judged = verify_chain(N.normalise(records)).verdicts
+    out = kafka.to_topic_rows(reports.accepted_payload(records, judged), "accepted")
+    return out.select("topic", F.col("key").cast("string").alias("key"),
+                      F.col("value").cast("string").alias("value"),
+                      H.header_last(F.col("headers"), H.SENDER).alias("sender_text"),
+                      F.size("headers").alias("n_headers"))
 
 
 @query("verdict_report")
@@ -483,6 +522,38 @@ def _(spark, sf_dir):
     return _place(consumer.verdicts(spark), *_VERDICT)
 
 
+def _topic_stream(spark, sf_dir, payload):
+    """Topic rows as a stream in four micro-batches over two starts."""
+    rows, path = _topic_rows(spark, sf_dir), new_path(spark, "topic")
+    consumer = Consumer(f"{path}/out", payload=payload)
+    edges = _records(spark, sf_dir).agg(F.min("timestamp").alias("lo"),
+                                        F.max("timestamp").alias("hi"))
+    place = F.floor(4 * (F.unix_millis("timestamp") - edges.select(F.unix_millis("lo")).scalar())
+                    / (edges.select(F.unix_millis("hi")).scalar()
+                       - edges.select(F.unix_millis("lo")).scalar() + 1))
+    for half in (0, 1):
+        for quarter in (2 * half, 2 * half + 1):
+            (rows.where(place == quarter).coalesce(1).write.mode("append").parquet(f"{path}/in"))
+        stream = (spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1)
+                  .parquet(f"{path}/in"))
+        consumer.start(kafka.as_records(stream)).awaitTermination()
+    return consumer
+
+
+@query("stream_topic_verify")
+def _(spark, sf_dir):
+    """Numbers and clock go on across micro-batches and a restart."""
+    verdicts = _topic_stream(spark, sf_dir, payload=False).verdicts(spark)
+    return _place(verdicts, *_VERDICT)
+
+
+@query("stream_accepted")
+def _(spark, sf_dir):
+    """The accepted records of a topic stream, with key and value."""
+    return _place(_topic_stream(spark, sf_dir, payload=True).accepted(spark),
+                  "offset", "partition", "key", "value", "ingest_ms")
+
+
 @query("stream_lane_verify")
 def _(spark, sf_dir):
     """One lane per topic partition with keyed state, and a key store that forgets nothing."""

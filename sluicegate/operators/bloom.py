@@ -1,7 +1,7 @@
 """A Bloom filter of the key store, built and probed with column expressions.
 
 The bit set is one row with an array of 64-bit words. It goes to every task, so its size is
-checked first; a store too large for it is joined without a filter.
+checked first. The bit positions come from the md5 of the key text, so any engine can check them.
 """
 
 from __future__ import annotations
@@ -20,7 +20,6 @@ from ..plans.scratch import materialise
 # Fixed value: room for keys beyond the store's size.
 HEADROOM = 1.2
 MAX_BITS = 64 * 1024 * 1024  # 8 MiB in every task
-_SEEDS = (0, 1_000_003)
 
 
 @dataclass(frozen=True)
@@ -44,11 +43,11 @@ def bloom_shape(cap: int = STORE_SIZE, fpp: float = BLOOM_FPP) -> BloomShape:
 
 
 def _positions(shape: BloomShape) -> list[Column]:
-    text = key_text(F.col("sender_key"), F.col("message_id"))
-    one, two = (F.xxhash64(F.lit(seed), text) for seed in _SEEDS)
-    # Both hashes are cut first so that the products stay within 64 bits.
-    start, step = F.pmod(one, F.lit(shape.bits)), F.pmod(two, F.lit(shape.bits - 1)) + 1
-    return [F.pmod(start + F.lit(i) * step, F.lit(shape.bits)) for i in range(shape.hashes)]
+    digest = F.md5(key_text(F.col("sender_key"), F.col("message_id")).cast("binary"))
+    one, two = (F.conv(F.substring(digest, at, 15), 16, 10).cast("bigint") for at in (1, 18))
+    # Both numbers are cut first so that the products stay within 64 bits.
+    start, step = one % F.lit(shape.bits), two % F.lit(shape.bits - 1) + 1
+    return [(start + F.lit(i) * step) % F.lit(shape.bits) for i in range(shape.hashes)]
 
 
 @dataclass(frozen=True)
@@ -65,11 +64,12 @@ def bloom_words(store: DataFrame, shape: BloomShape) -> DataFrame:
             .agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits")))
 
 
-def build_bloom(store: DataFrame, cap: int = STORE_SIZE, fpp: float = BLOOM_FPP) -> Bloom | None:
-    """Filter of the keys of ``store``; None if it would be too large to send around."""
+def build_bloom(store: DataFrame, cap: int = STORE_SIZE, fpp: float = BLOOM_FPP) -> Bloom:
+    """Filter of the keys of ``store``; an error if it would be too large to send around."""
     shape = bloom_shape(cap, fpp)
     if shape.bits > MAX_BITS:
-        return None
+        raise ValueError(f"a filter of {shape.bits} bits is too large for every task; "
+                         "join without it, Spark filters the larger side itself")
     every = store.sparkSession.range(shape.words).select(F.col("id").alias("word"))
     filled = (every.join(bloom_words(store, shape), "word", "left")
               .select("word", F.coalesce("bits", F.lit(0).cast("bigint")).alias("bits")))

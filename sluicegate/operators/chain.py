@@ -27,9 +27,8 @@ from ..plans.fold import EFFECT_SCHEMA, carry_effects, fold_effects, fold_verdic
 from ..plans.scratch import materialise, materialise_bucketed
 from .normalize import NORMALISED, is_keyed
 
-BROADCAST_KEYS = 500_000
-BROADCAST_CHUNKS = 1_000_000
 STATE_CHUNK = -1
+MAX_BUCKETS = 100_000  # Spark takes no more buckets for a table
 
 
 @dataclass(frozen=True)
@@ -52,20 +51,13 @@ def _keys_in_several_chunks(rows: DataFrame, every_key: bool) -> DataFrame:
         shared = materialise(
             ids.groupBy(*names).agg(F.min("chunk").alias("lo"), F.max("chunk").alias("hi"))
             .where("lo < hi").select(*names), "shared")
-        if shared.count() <= BROADCAST_KEYS:
-            found = ids.join(F.broadcast(shared), names, "left_semi").distinct()
-        else:
-            found = ids.distinct().join(shared, names, "left_semi")
+        # Spark takes the side's size in bytes to choose the kind of join.
+        found = ids.join(shared, names, "left_semi").distinct()
     return found.select("chunk", F.lit(O.UNIQUENESS).alias("check"),
                         F.to_json(F.array(*names)).alias("key"),
                         F.lit(None).cast("string").alias("seed"))
 
 
-def _only(df: DataFrame, chunks: DataFrame, n: int, how: str = "left_semi") -> DataFrame:
-    small = F.broadcast(chunks) if n <= BROADCAST_CHUNKS else chunks
-    return df.join(small, "chunk", how)
-
-
 def _seeds_settled_at_once(checks: list[Check]) -> bool:
     """A lone offset or watermark check sums up a chunk exactly whatever its seeds are."""
     return len(checks) == 1 and checks[0].name in (O.OFFSET, O.SENDER_WATERMARK)
@@ -91,17 +83,21 @@ def verify_chain(normalised: DataFrame, checks: list[Check] | None = None,
 
     spark = normalised.sparkSession
     parallel = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = min(cut.chunks, max(parallel, cut.chunks // 4))
-    if buckets > 1:
-        rows = materialise_bucketed(cut.df, "rows", buckets, "chunk")
-    else:
-        rows = materialise(cut.df, "rows")
+    # A bucket holds many chunks, one walked after the other; their number follows the cluster.
+    rows = materialise_bucketed(cut.df, "rows", min(parallel, MAX_BUCKETS), "chunk")
 
     start = None
     if any(check.name == O.UNIQUENESS for check in checks):
         start = materialise(_keys_in_several_chunks(rows, keep_state or state is not None), "touch")
-    before = state if state is not None else spark.createDataFrame([], EFFECT_SCHEMA)
     effects = materialise(fold_effects(rows, start, checks), "effects")
+    before = state if state is not None else spark.createDataFrame([], EFFECT_SCHEMA)
+    touched = effects.select("check", "key").distinct()
+    idle = before.where(F.col("check").isNotNull()).join(touched, ["check", "key"], "left_anti")
+    # Only the states of keys that these records have take part in the passes.
+    before = before.where(F.col("check").isNull()).unionByName(
+        before.join(touched, ["check", "key"], "left_semi"))
+    if state is not None:
+        before = materialise(before, "before")
     passes = 1
     while True:
         seeds = materialise(carry_effects(effects.unionByName(before), checks), "seeds")
@@ -110,16 +106,20 @@ def verify_chain(normalised: DataFrame, checks: list[Check] | None = None,
         if _seeds_settled_at_once(checks) or (cut.chunks == 1 and passes == 2):
             break
         changed = current.where(~F.col("used").eqNullSafe(F.col("seed"))).select("chunk").distinct()
-        n = changed.count()
-        if n == 0:
+        if changed.isEmpty():
             break
         if passes > cut.chunks:
             raise RuntimeError("the chain does not settle: is arrival_seq unique and stable?")
-        again = fold_effects(_only(rows, changed, n), _only(current, changed, n), checks)
-        effects = materialise(again.unionByName(_only(effects, changed, n, "left_anti")), "effects")
+        changed = materialise(changed, "changed")
+        again = fold_effects(rows.join(changed, "chunk", "left_semi"),
+                             current.join(changed, "chunk", "left_semi"), checks)
+        effects = materialise(again.unionByName(effects.join(changed, "chunk", "left_anti")),
+                              "effects")
         passes += 1
     verdicts = with_outcomes(fold_verdicts(rows, current, checks), checks)
-    end = _end_state(seeds, effects.unionByName(before)) if keep_state else None
+    end = None
+    if keep_state:
+        end = _end_state(seeds, effects.unionByName(before)).unionByName(idle)
     return ChainRun(verdicts, passes, cut.chunks, end)
 
 

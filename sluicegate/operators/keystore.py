@@ -72,8 +72,8 @@ def exists(keys: DataFrame, store: DataFrame, prefilter: str = "none", cap: int
            fpp: float = BLOOM_FPP) -> DataFrame:
     """Add ``is_stored`` to every row of ``keys``.
 
-    With ``prefilter="bloom"`` only keys that pass a Bloom filter of the store are joined;
-    the answer is the same, the join is smaller.
+    With ``prefilter="bloom"`` only keys that pass a Bloom filter of the store are compared;
+    the answer is the same. A store too large for the filter is an error, see ``build_bloom``.
     """
     stored = store.select(*KEY).distinct().withColumn("_hit", F.lit(True))
     if prefilter == "none":
@@ -81,12 +81,12 @@ def exists(keys: DataFrame, store: DataFrame, prefilter: str = "none", cap: int
     if prefilter != "bloom":
         raise ValueError(f"unknown prefilter {prefilter!r}")
     stored = materialise(stored, "stored")
-    bloom = build_bloom(stored, cap, fpp)
-    if bloom is None:
-        return _flagged(keys, stored)
-    probed = keys.withColumn("_maybe", might_contain(bloom))
-    absent = probed.where(~F.col("_maybe")).withColumn("is_stored", F.lit(False)).drop("_maybe")
-    return absent.unionByName(_flagged(probed.where("_maybe").drop("_maybe"), stored))
+    probed = keys.withColumn("_maybe", might_contain(build_bloom(stored, cap, fpp)))
+    other = stored.select(*[F.col(c).alias(f"_{c}") for c in KEY], "_hit")
+    same = [F.col(c) == F.col(f"_{c}") for c in KEY]
+    return (probed.join(other, [F.col("_maybe"), *same], "left")
+            .withColumn("is_stored", F.coalesce("_hit", F.lit(False)))
+            .drop("_hit", "_maybe", *[f"_{c}" for c in KEY]))
 
 
 def _flagged(keys: DataFrame, stored: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.outcomes import SUCCESS
 from .normalize import is_keyed, is_timed
 
 
@@ -77,3 +78,10 @@ def with_payload(records: DataFrame, judged: DataFrame) -> DataFrame:
     """Raw records with their verdict, for sinks that need key and value again."""
     return records.join(judged.select("arrival_seq", "verdict", "verified", "failed_by"),
                         "arrival_seq")
+
+
+def accepted_payload(records: DataFrame, judged: DataFrame) -> DataFrame:
+    """Raw records that passed. Only the numbers of the rejected ones are looked up, so the
+    payload is not shuffled while those fit into a broadcast."""
+    gone = rejected(judged).select("arrival_seq")
+    return records.join(gone, "arrival_seq", "left_anti").withColumn("verdict", F.lit(SUCCESS))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from .operators.histogram import hybrid_bounds, log_bounds, pow2_bounds
-
 HOUR_MS = 3_600_000
 
 _RECORDS = """
@@ -210,16 +208,33 @@ select arrival_seq, id_text,
 from g"""
 
 
-def _bound_values(bounds: list[float]) -> str:
-    shown = ["'infinity'::double" if b == float("inf") else f"{b!r}::double" for b in bounds]
-    return f"unnest([{', '.join(shown)}])"
+_INF = "'infinity'::double"
+
+
+def _pow2(n: int) -> str:
+    """Bounds as rows (ord, upper_bound): 0, 1, 2, 4, ..., infinity."""
+    return f"""select ord, case ord when 0 then 0.0 when {n - 1} then {_INF}
+  else pow(2.0::double, ord - 1) end as upper_bound from (select unnest(range(0, {n})) as ord)"""
+
+
+def _log_steps(n: int, low: float = 1.0, high: float = 1_000_000.0) -> str:
+    """0, equal steps of the logarithm above ``low`` up to ``high``, infinity."""
+    return f"""select ord, case ord when 0 then 0.0 when {n - 1} then {_INF}
+  else exp(ln({low}::double) + (ln({high}::double) - ln({low}::double)) / {n - 2} * ord) end
+  as upper_bound from (select unnest(range(0, {n})) as ord)"""
+
+
+def _hybrid(n: int) -> str:
+    """Tens up to a thousand, then geometric up to a million, infinity."""
+    return f"""select ord, case when ord <= 100 then ord * 10.0::double when ord = {n - 1} then {_INF}
+  else 1000 * pow(pow(1000.0::double, 1.0::double / {n - 102}), ord - 100) end as upper_bound
+  from (select unnest(range(0, {n})) as ord)"""
 
 
-def _histogram(source: str, bounds: list[float], prefix: str = "with ") -> str:
-    """``source`` is a query with one double column x."""
+def _histogram(source: str, bounds: str, prefix: str = "with ") -> str:
+    """``source`` is a query with one double column x, ``bounds`` one with ord and upper_bound."""
     return f"""{prefix} src as ({source}),
-bnd as (select row_number() over (order by ord) - 1 as bucket, upper_bound
-        from (select unnest(range(0, {len(bounds)})) as ord, {_bound_values(bounds)} as upper_bound)),
+bnd as (select ord as bucket, cast(upper_bound as double) as upper_bound from ({bounds})),
 rng as (select bucket, upper_bound,
           lag(upper_bound, 1, '-infinity'::double) over (order by bucket) as below from bnd),
 cnt as (select bucket, count(*) as n from src join rng on x > below and x <= upper_bound
@@ -229,14 +244,26 @@ select cast(b.bucket as int) as bucket, round(b.upper_bound, 4) as upper_bound,
 from bnd b left join cnt c on c.bucket = b.bucket"""
 
 
-def _compare(source: str, methods: dict[str, list[float]]) -> str:
-    parts = []
-    for name, bounds in methods.items():
-        parts.append(f"""select '{name}' as method, {len(bounds)} as n_bounds,
-  {round(bounds[1], 4)!r}::double as first_finite, {round(bounds[-2], 4)!r}::double as last_finite,
-  count(*) as occupied, max(n) as largest, cast(sum(n) as bigint) as n_rows
-from ({_histogram(source, bounds)}) where n > 0""")
-    return "\nunion all\n".join(parts)
+def _compare(source: str, methods: dict[str, str]) -> str:
+    return "\nunion all\n".join(f"""select '{name}' as method, cast(count(*) as int) as n_bounds,
+  max(upper_bound) filter (bucket = 1) as first_finite,
+  max(upper_bound) filter (upper_bound < {_INF}) as last_finite,
+  count(*) filter (n > 0) as occupied, max(n) as largest, cast(sum(n) as bigint) as n_rows
+from ({_histogram(source, bounds)})""" for name, bounds in methods.items())
+
+
+# Size of a filter for 12,000 keys and a false-positive rate of 0.01, and its bits.
+_BLOOM = """
+shape as (select 12000 as keys, cast(floor(-12000 * ln(0.01) / pow(ln(2), 2)) as bigint) as bits),
+sized as (select keys, bits, cast(round(bits / keys * ln(2)) as int) as hashes from shape),
+digests as (select distinct md5(concat(sender_key, ':', message_id)) as h from store),
+numbers as (select cast(concat('0x', substr(h, 1, 15)) as bigint) as one,
+                   cast(concat('0x', substr(h, 18, 15)) as bigint) as two from digests),
+bits_of as (select distinct (one % bits + i * (two % (bits - 1) + 1)) % bits as bit
+            from numbers, sized, range(0, 7) t(i) where i < hashes)
+select keys as expected_keys, cast(bits as int) as n_bits, hashes as n_hashes, k as bits_set,
+  k / bits as fill_ratio
+from sized, (select count(*) as k from bits_of)"""
 
 
 def oracle_sql() -> dict[str, str]:
@@ -307,6 +334,12 @@ from n where sender_raw is not null and sender_ts is not null group by all"""),
         "chain_verify": _chain(_VERDICTS),
         "chain_verify_chunked": _chain(_VERDICTS),
         "chain_verify_small_store": _chain(_VERDICTS, cap=100),
+        "chain_small_store_chunked": _chain(_VERDICTS, cap=100),
+        "uniqueness_expiring_chunked": _chain(
+            "select arrival_seq, sender_key, message_id, verdict, verified, uniq_outcome "
+            "from judged", ttl=100_000, checks=("uniqueness",)),
+        "chain_custom_check_chunked": _chain(
+            "select arrival_seq, verdict, verified, failed_by from judged", custom=True),
         "chain_verify_threshold": _chain(_VERDICTS, threshold=6 * HOUR_MS),
         "chain_verify_across_partitions": _chain(_VERDICTS, source=_ACROSS),
         "chain_custom_check": _chain(
@@ -375,17 +408,26 @@ select sender_key, message_id, max(stored_ms) as stored_ms, max(stored_seq) as s
 from log where stored_seq > (select max(stored_seq) // 2 from log) group by all"""),
         "key_exists": _with(_EXISTS),
         "bloom_then_exact": _with(_EXISTS),
-        "hist_hybrid": _histogram(total, hybrid_bounds(150)),
-        "hist_pow2": _histogram(price, pow2_bounds(24)),
-        "hist_log": _histogram(price, log_bounds(100)),
-        "hist_log_range": _histogram(total, log_bounds(50, 100.0, 10_000.0)),
-        "histogram_events_value": _histogram("select value as x from events", pow2_bounds(10)),
+        "bloom_build_stats": _with(_LOG + "," + _BLOOM),
+        "stream_topic_verify": _chain(_VERDICTS),
+        "stream_accepted": _chain("""
+select r.off, r.part, r.key, r.value, r.ingest_ms
+from records r join judged j on j.arrival_seq = r.arrival_seq where j.verified"""),
+        "topic_round_trip": _chain("""
+select 'accepted' as topic, r.key, r.value, r.sender as sender_text,
+  1 + cast(r.sender is not null as int) + cast(r.id_text is not null as int) as n_headers
+from records r join judged j on j.arrival_seq = r.arrival_seq where j.verified"""),
+        "hist_hybrid": _histogram(total, _hybrid(150)),
+        "hist_pow2": _histogram(price, _pow2(24)),
+        "hist_log": _histogram(price, _log_steps(100)),
+        "hist_log_range": _histogram(total, _log_steps(50, 100.0, 10_000.0)),
+        "histogram_events_value": _histogram("select value as x from events", _pow2(10)),
         "histogram_lateness": _histogram(
             "select cast(prev_watermark - sender_ts as double) as x from v "
-            "where prev_watermark is not null", log_bounds(30),
+            "where prev_watermark is not null", _log_steps(30),
             _with(_WATERMARKS + ",")),
         "hist_compare": _compare(price, {
-            "hybrid": hybrid_bounds(150), "pow2": pow2_bounds(24), "log": log_bounds(50),
-            "log 0.1-100": log_bounds(50, 0.1, 100.0),
-            "log 100-10000": log_bounds(50, 100.0, 10_000.0)}),
+            "hybrid": _hybrid(150), "pow2": _pow2(24), "log": _log_steps(50),
+            "log 0.1-100": _log_steps(50, 0.1, 100.0),
+            "log 100-10000": _log_steps(50, 100.0, 10_000.0)}),
     }

@@ -29,10 +29,6 @@ UNIQUENESS_PRIORITY = 0
 OFFSET_PRIORITY = 1
 WATERMARK_PRIORITY = 2
 
-# Longest effect of one key; beyond it the effect holds for the seed used only, which costs
-# further passes but no exactness.
-MAX_ENDS = 4_096
-
 
 def _dumps(value: Any) -> str | None:
     return None if value is None else json.dumps(value)
@@ -145,14 +141,7 @@ class _StoreGate(_Gate):
 
     def effects(self):
         for text, code in zip(self.seed_texts, self.keys.seeds):
-            yield text, self.used[code], _dumps(self._effect(code))
-
-    def _effect(self, code: int) -> list | None:
-        ends = self._ends(self.copies[code])
-        if len(ends) <= MAX_ENDS:
-            return ends or None
-        number, time = self.state[code]
-        return [number, time] if number > 0 else None
+            yield text, self.used[code], _dumps(self._ends(self.copies[code]) or None)
 
     def _ends(self, copies: list[tuple]) -> list[list]:
         """[stores, clock, number, time]: a seed first found dead there ends as that store."""

@@ -1,8 +1,8 @@
 """Intermediate tables in the folder that ``spark.checkpoint.dir`` names.
 
 A multi-pass job writes its intermediate results as parquet in shared storage. That cuts
-the lineage and outlives lost executors. Only a local session without the setting gets a
-temporary folder of its own.
+the lineage and outlives lost executors. They are deleted when the application ends. Only a local
+session without the setting gets a temporary folder of its own.
 """
 
 from __future__ import annotations
@@ -34,6 +34,7 @@ def new_path(spark: SparkSession, name: str) -> str:
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a scratch table and read it back."""
     path = new_path(df.sparkSession, name)
+    _delete_at_end(df.sparkSession, path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -42,6 +43,7 @@ def materialise_bucketed(df: DataFrame, name: str, buckets: int, key: str) -> Da
     """Like ``materialise``, but bucketed by ``key``: grouping by it later needs no shuffle."""
     spark = df.sparkSession
     path = new_path(spark, name)
+    _delete_at_end(spark, path)
     table = f"sluicegate_{name}_{uuid.uuid4().hex}"
     (df.repartition(buckets, key).write.format("parquet").bucketBy(buckets, key)
      .option("path", path).saveAsTable(table))
@@ -62,8 +64,7 @@ class Scratch:
         """A new folder that this job owns."""
         self.drop(name)
         self._paths[name] = path = new_path(self.spark, f"{self.job}-{name}")
-        where, files = _hadoop(self.spark, path)
-        files.deleteOnExit(where)
+        _delete_at_end(self.spark, path)
         return path
 
     def keep(self, name: str, df: DataFrame) -> DataFrame:
@@ -85,8 +86,13 @@ class Scratch:
 
     def _delete(self, path: str | None) -> None:
         if path:
-            where, files = _hadoop(self.spark, path)
-            files.delete(where, True)
+            delete_folder(self.spark, path)
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of ours; nothing happens if there is none."""
+    where, files = _hadoop(spark, path)
+    files.delete(where, True)
 
 
 def _hadoop(spark: SparkSession, path: str):
@@ -94,6 +100,12 @@ def _hadoop(spark: SparkSession, path: str):
     return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def _delete_at_end(spark: SparkSession, path: str) -> None:
+    """Delete the folder when the application ends."""
+    where, files = _hadoop(spark, path)
+    files.deleteOnExit(where)
+
+
 def drop_scratch_tables(spark: SparkSession) -> int:
     """Forget the catalogue entries of bucketed scratch tables; call it when results are saved."""
     names = [t.name for t in spark.catalog.listTables() if t.name.startswith("sluicegate_")]

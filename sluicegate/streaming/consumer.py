@@ -1,7 +1,8 @@
 """Verify a stream exactly: every micro-batch runs the chain from the state before it.
 
 The state after batch ``n`` is a table of its own, so a batch that is run again after a
-failure starts from the same state and overwrites its own output only.
+failure starts from the same state and overwrites its own output only. States of keys that a
+batch does not have pass by the chain.
 """
 
 from __future__ import annotations
@@ -17,21 +18,25 @@ from ..operators.reports import verdict_report
 from ..plans.arrival import CHUNK_ROWS
 from ..plans.checks import Check, Uniqueness, default_checks
 from ..plans.fold import EFFECT_SCHEMA
-from ..sources.kafka import in_arrival_order
+from ..plans.scratch import delete_folder
+from ..sources.kafka import ARRIVAL_ORDER, in_arrival_order
 
 
 class Consumer:
     """Runs the chain on a stream and keeps verdicts and state below ``path``.
 
     ``path`` must be storage that all executors share. Records without ``arrival_seq`` are
-    numbered per micro-batch.
+    numbered on from the micro-batch before, and their store clock never falls below the one
+    reached there. With ``payload`` the raw records go to ``accepted`` and ``rejected`` as well.
+    The states of the last two batches are kept.
     """
 
     def __init__(self, path: str, checks: list[Check] | None = None,
-                 chunk_rows: int = CHUNK_ROWS):
+                 chunk_rows: int = CHUNK_ROWS, payload: bool = False):
         self.path = path.rstrip("/")
         self.checks = checks or default_checks()
         self.chunk_rows = chunk_rows
+        self.payload = payload
 
     def start(self, records: DataFrame, **trigger) -> StreamingQuery:
         return (records.writeStream.foreachBatch(self.process)
@@ -40,13 +45,55 @@ class Consumer:
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        if "arrival_seq" not in batch.columns:
-            batch = in_arrival_order(batch)
+        records = batch if "arrival_seq" in batch.columns else self._number(batch, batch_id)
         before = self.state(spark, batch_id - 1) if batch_id else None
-        run = verify_chain(normalise(batch), self.checks, self.chunk_rows, before, keep_state=True)
-        verdict_report(run.verdicts).write.mode("overwrite").parquet(
-            f"{self.path}/verdicts/batch_id={batch_id}")
+        run = verify_chain(normalise(records), self.checks, self.chunk_rows, before,
+                           keep_state=True)
+        report = self._out("verdicts", batch_id)
+        verdict_report(run.verdicts).write.mode("overwrite").parquet(report)
+        if self.payload:
+            self._write_payload(records, spark.read.parquet(report), batch, batch_id)
         self._live(run.state).write.mode("overwrite").parquet(self._state_path(batch_id))
+        for old in (self._state_path(batch_id - 2), self._progress_path(batch_id - 2)):
+            delete_folder(spark, old)
+
+    def _number(self, batch: DataFrame, batch_id: int) -> DataFrame:
+        """Numbers and clock go on where the batch before ended; the payload is left out."""
+        spark = batch.sparkSession
+        reached = spark.read.parquet(self._progress_path(batch_id - 1)).first() if batch_id else None
+        first, clock = reached or (0, None)
+        numbered = in_arrival_order(batch.drop("key", "value")).withColumns({
+            "arrival_seq": F.col("arrival_seq") + F.lit(first),
+            "ingest_ms": F.greatest("ingest_ms", F.lit(clock).cast("bigint"))})
+        (numbered.agg(F.coalesce(F.max("arrival_seq") + 1, F.lit(first)).alias("next_seq"),
+                      F.coalesce(F.max("ingest_ms"), F.lit(clock).cast("bigint")).alias("clock"))
+         .write.mode("overwrite").parquet(self._progress_path(batch_id)))
+        return numbered
+
+    def _write_payload(self, records: DataFrame, report: DataFrame, batch: DataFrame,
+                       batch_id: int) -> None:
+        """Raw records by verdict; only the rejected ones, usually few, are looked up."""
+        gone = report.where("not verified").select("arrival_seq", "verdict", "failed_by", "reason")
+        if "arrival_seq" in batch.columns:
+            key = ["arrival_seq"]
+        else:
+            key = ARRIVAL_ORDER
+            gone = records.select("arrival_seq", *key).join(gone, "arrival_seq").drop("arrival_seq")
+        for name, rows in (("accepted", batch.join(gone.select(*key), key, "left_anti")),
+                           ("rejected", batch.join(gone, key))):
+            rows.write.mode("overwrite").parquet(self._out(name, batch_id))
+
+    def _out(self, name: str, batch_id: int) -> str:
+        return f"{self.path}/{name}/batch_id={batch_id}"
+
+    def _progress_path(self, batch_id: int) -> str:
+        return f"{self.path}/progress-{batch_id:010d}"
+
+    def accepted(self, spark: SparkSession) -> DataFrame:
+        return spark.read.parquet(f"{self.path}/accepted")
+
+    def rejected(self, spark: SparkSession) -> DataFrame:
+        return spark.read.parquet(f"{self.path}/rejected")
 
     def verdicts(self, spark: SparkSession) -> DataFrame:
         return spark.read.parquet(f"{self.path}/verdicts")

@@ -76,8 +76,9 @@ def test_exists(spark, make_log, prefilter):
 
 def test_exists_beyond_filter_size(spark, make_log):
     store = keystore.upsert(make_log([("s1", 1, 0)]))
-    assert bloom.build_bloom(store, cap=10**9) is None
-    assert keystore.exists(keys(spark, [("s1", 1)]), store, "bloom", 10**9).first()["is_stored"]
+    with pytest.raises(ValueError, match="too large"):
+        keystore.exists(keys(spark, [("s1", 1)]), store, "bloom", 10**9)
+    assert keystore.exists(keys(spark, [("s1", 1)]), store).first()["is_stored"]
     with pytest.raises(ValueError):
         keystore.exists(keys(spark, [("s1", 1)]), store, "other")
 

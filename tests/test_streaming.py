@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sluicegate.operators import reports
@@ -53,6 +54,45 @@ def test_consumer_batch_may_run_twice(spark, tmp_path):
     assert in_order(consumer.verdicts(spark), "failed_by") == in_order(batch, "failed_by")
 
 
+def test_topic_numbers_and_clock_go_on(spark, tmp_path):
+    """Three batches, one empty and one with broker times that fall back; one batch is repeated."""
+    topic = load_records(spark, SF_SMALL).drop("arrival_seq", "ingest_ms", "event_id", "kind")
+    ms = F.unix_millis("timestamp")
+    edge = topic.select(F.percentile_approx(ms, 0.5)).first()[0]
+    early = topic.where(ms <= edge)
+    late = topic.where(ms > edge).withColumn("timestamp", F.timestamp_millis(ms - 100_000))
+    clocked = F.unix_millis("timestamp").alias("ingest_ms")
+    consumer = Consumer(str(tmp_path / "out"), payload=True)
+    for batch_id, part in [(0, early), (1, topic.where("false")), (2, late), (2, late)]:
+        consumer.process(part.select("*", clocked), batch_id)
+    verdicts = consumer.verdicts(spark)
+    numbers = [r.arrival_seq for r in verdicts.select("arrival_seq").collect()]
+    assert sorted(numbers) == list(range(topic.count()))
+
+    total = early.count()
+    model = (early.withColumn("half", F.lit(0)).unionByName(late.withColumn("half", F.lit(1)))
+             .withColumn("arrival_seq", F.row_number().over(Window.orderBy(
+                 "half", "timestamp", "topic", "partition", "offset")).cast("bigint") - 1)
+             .withColumn("ingest_ms", F.greatest(F.unix_millis("timestamp"), F.when(
+                 F.col("half") == 1, edge))))
+    batch = verify_chain(normalise(model)).verdicts
+    assert in_order(verdicts, "failed_by") == in_order(batch, "failed_by")
+    assert total < len(numbers)
+    assert consumer.accepted(spark).count() == verdicts.where("verified").count()
+    rejected = consumer.rejected(spark)
+    assert rejected.count() == verdicts.where("not verified").count()
+    assert rejected.where("value is null or failed_by is null").count() == 0
+
+
+def test_only_two_states_are_kept(spark, tmp_path):
+    records = load_records(spark, SF_SMALL)
+    consumer = Consumer(str(tmp_path / "out"))
+    for batch_id in range(4):
+        consumer.process(records.where(F.col("arrival_seq") % 4 == batch_id), batch_id)
+    assert sorted(p.name for p in (tmp_path / "out").glob("state-*")) == [
+        f"state-{n:010d}" for n in (2, 3)]
+
+
 def test_lanes_equal_batch(spark, tmp_path):
     checks = default_checks(cap=None, ttl_ms=None)
     list(slices(spark, str(tmp_path / "in"), 2))
