@@ -24,16 +24,16 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = both.where("v > u").join(least, "u").select(
             F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = scratch.keep("large", large)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
-        small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = small.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        # Stars around the smallest nodes: no node is both a hub and a leaf.
-        edges = scratch.keep("edges", small)
-        hubs = edges.select(F.col("v").alias("u")).distinct()
-        many = edges.groupBy("u").count().where("count > 1").select("u")
-        if edges.join(hubs, "u", "left_semi").isEmpty() and many.isEmpty():
+        small = large.join(least, "u").where("v <> m").select(
+            F.col("v").alias("u"), F.col("m").alias("v"))
+        edges = scratch.keep("edges", small.unionByName(
+            least.select("u", F.col("m").alias("v"))).distinct())
+        # Stars around the smallest nodes: no node has two links up, or is both hub and leaf.
+        roles = edges.select("u", F.lit(1).alias("up"), F.lit(0).alias("hub")).unionByName(
+            edges.select(F.col("v").alias("u"), F.lit(0).alias("up"), F.lit(1).alias("hub")))
+        if roles.groupBy("u").agg(F.sum("up").alias("up"), F.max("hub").alias("hub")).where(
+                "up > 1 or (up = 1 and hub = 1)").isEmpty():
             break
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(
         edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())

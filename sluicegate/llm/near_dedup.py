@@ -1,16 +1,19 @@
 """Near-duplicates by b-bit MinHash, confirmed on the full shingle sets.
 
 1. A document becomes its set of hashed word shingles. Of 128 minimum hashes, 32 bands of four
-   give candidates; two low bits of each minimum are packed into a 256-bit signature.
-2. Documents with the same set form a class; only the smallest ``doc_id`` of a class goes on.
-3. A band bucket with several classes never becomes a list of pairs. It is a star: each member
-   is compared with one leader at a time, first with the smallest member it shares a bucket
-   with. Confirmed links give labels. Buckets whose members all have one label are done; the
-   others get further stars, now between different labels, as long as those find links. At the
-   end the members that still differ in their label are compared in full, so no link between
-   different components is lost.
-4. A candidate pair counts if the bits that agree, corrected for chance collisions, allow the
-   wanted similarity with a margin of six standard deviations; then the sets decide.
+   give the buckets. Documents with the same set form a class; only the smallest ``doc_id`` of a
+   class goes on.
+2. A document that shares a bucket gets a signature: the two low bits of 512 minima, packed into
+   1,024 bits. The bits that agree, corrected for chance collisions, estimate the similarity; a
+   pair is a candidate if the estimate is at most five and a half standard deviations too low.
+3. A bucket never becomes a list of pairs. Each round takes four leaders of every bucket, by four
+   hashes, and every member keeps its likeliest leader of each kind: at most four pairs per
+   document, whatever the size of its buckets. The full sets confirm them, and the links give
+   labels. Buckets whose members all have one label are done; the others get another round
+   with other leaders as long as a round finds links.
+4. What is left is compared in full: all members with different labels in a bucket whose
+   estimate allows a link. These are the few documents of a family that are at its rim, so
+   no link between different components is lost.
 
 The chance that a link of similarity 0.8 shares no band is 5e-8; more similar pairs are safer.
 
@@ -34,15 +37,17 @@ from .components import components
 from .texts import Rolling, WordHashes, map_texts, mix
 
 BANDS, ROWS = 32, 4
-HASHES = BANDS * ROWS
+LANES = 512  # minima in a signature
 LOW_BITS = 2
-WORDS_PER_SIGNATURE = HASHES * LOW_BITS // 64
-MARGIN = 0.25  # six standard deviations of the estimate at a similarity of 0.8
+SIGNATURE_WORDS = LANES * LOW_BITS // 64
+MARGIN = 0.116  # five and a half standard deviations of the estimate at a similarity of 0.8
+LEADERS = 4
 _SIGNATURES = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()),
                          ("set_a", pa.int64()), ("set_b", pa.int64()),
-                         ("bits", pa.list_(pa.int64())), ("bands", pa.list_(pa.int64()))])
-_SETS = pa.schema([("doc_id", pa.int64()), ("shingles", pa.list_(pa.int64()))])
-_LANES = 0x5555555555555555
+                         ("bands", pa.list_(pa.int64()))])
+_SETS = pa.schema([("doc_id", pa.int64()), ("bits", pa.list_(pa.int64())),
+                   ("shingles", pa.list_(pa.int64()))])
+_ODD_BITS = 0x5555555555555555
 
 
 @dataclass(frozen=True)
@@ -70,15 +75,16 @@ class _Sets:
         return np.unique(found if n >= self._words else mix(found + np.uint64(n)))
 
 
-def _permutations() -> tuple[np.ndarray, np.ndarray]:
-    numbers = np.random.default_rng(1)
-    return (numbers.integers(1, 1 << 63, HASHES, np.uint64) * np.uint64(2) + np.uint64(1),
-            numbers.integers(0, 1 << 63, HASHES, np.uint64))
+def permutations(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Factors and terms of ``n`` hash functions."""
+    numbers = np.random.default_rng(seed)
+    return (numbers.integers(1, 1 << 63, n, np.uint64) * np.uint64(2) + np.uint64(1),
+            numbers.integers(0, 1 << 63, n, np.uint64))
 
 
 def minima(values: np.ndarray, factors: np.ndarray, terms: np.ndarray) -> np.ndarray:
     """Minimum of every permuted set, a bounded part of the set at a time."""
-    low = np.full(HASHES, np.iinfo(np.uint64).max, np.uint64)
+    low = np.full(len(factors), np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(values), 512):
         part = values[at:at + 512]
         low = np.minimum(low, (factors[:, None] * part[None] + terms[:, None]).min(axis=1))
@@ -86,16 +92,16 @@ def minima(values: np.ndarray, factors: np.ndarray, terms: np.ndarray) -> np.nda
 
 
 def pack_low_bits(low: np.ndarray) -> np.ndarray:
-    lanes = (low & np.uint64((1 << LOW_BITS) - 1)).reshape(WORDS_PER_SIGNATURE, -1)
+    lanes = (low & np.uint64((1 << LOW_BITS) - 1)).reshape(SIGNATURE_WORDS, -1)
     shifts = np.arange(64 // LOW_BITS, dtype=np.uint64) * np.uint64(LOW_BITS)
     return np.bitwise_or.reduce(lanes << shifts, axis=1)
 
 
 def signatures(docs: DataFrame, shingling: Shingling) -> DataFrame:
-    """Set size, a 128-bit hash of the set, packed signature and band keys per document."""
+    """Set size, a 128-bit hash of the set, and band keys per document."""
     def work():
         sets = _Sets(shingling.words)
-        factors, terms = _permutations()
+        factors, terms = permutations(BANDS * ROWS, 1)
         band = np.arange(BANDS, dtype=np.uint64)
 
         def step(batch: pa.RecordBatch) -> dict:
@@ -107,14 +113,12 @@ def signatures(docs: DataFrame, shingling: Shingling) -> DataFrame:
                 columns["set_a"].append(int(mixed.sum().astype(np.int64)))
                 columns["set_b"].append(int(mix(mixed).sum().astype(np.int64)))
                 if not len(found):
-                    columns["bits"].append(None)
                     columns["bands"].append(None)
                     continue
                 low = minima(found, factors, terms)
                 keys = band
                 for row in range(ROWS):
                     keys = mix(keys + low[row::ROWS])
-                columns["bits"].append(pack_low_bits(low).astype(np.int64))
                 columns["bands"].append(keys.astype(np.int64))
             return {"doc_id": batch.column("doc_id"), **columns}
 
@@ -124,12 +128,21 @@ def signatures(docs: DataFrame, shingling: Shingling) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, shingling: Shingling) -> DataFrame:
+    """Packed signature and full set of every document that has words."""
     def work():
         sets = _Sets(shingling.words)
-
-        def step(batch: pa.RecordBatch) -> dict:
-            return {"doc_id": batch.column("doc_id"), "shingles": [
-                sets.of(text).astype(np.int64) for text in batch.column("text").to_pylist()]}
+        factors, terms = permutations(LANES, 2)
+
+        def step(batch: pa.RecordBatch) -> dict | None:
+            rows = [(doc, sets.of(text)) for doc, text in zip(
+                batch.column("doc_id").to_pylist(), batch.column("text").to_pylist())]
+            rows = [(doc, found) for doc, found in rows if len(found)]
+            if not rows:
+                return None
+            return {"doc_id": [doc for doc, _ in rows],
+                    "bits": [pack_low_bits(minima(found, factors, terms)).astype(np.int64)
+                             for _, found in rows],
+                    "shingles": [found.astype(np.int64) for _, found in rows]}
 
         return step
 
@@ -139,25 +152,22 @@ def shingle_sets(docs: DataFrame, shingling: Shingling) -> DataFrame:
 def estimate(a: str, b: str) -> Column:
     """Similarity from the lanes of two packed signatures that agree, less chance collisions."""
     differ = F.lit(0)
-    for at in range(WORDS_PER_SIGNATURE):
+    for at in range(SIGNATURE_WORDS):
         either = F.col(a)[at].bitwiseXOR(F.col(b)[at])
         lanes = either.bitwiseOR(F.shiftrightunsigned(either, 1)).bitwiseAND(
-            F.lit(_LANES).cast("long"))
+            F.lit(_ODD_BITS).cast("long"))
         differ = differ + F.bit_count(lanes)
     chance = 1 / (1 << LOW_BITS)
-    return (1 - differ / F.lit(float(HASHES)) - chance) / (1 - chance)
+    return (1 - differ / F.lit(float(LANES)) - chance) / (1 - chance)
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, shingling: Shingling) -> DataFrame:
-    """The pairs whose signatures allow a link and whose full sets have it."""
-    one = sets.select(F.col("doc_id").alias("b"), F.col("bits").alias("bits_b"),
-                      F.col("shingles").alias("set_b"))
-    two = sets.select(F.col("doc_id").alias("a"), F.col("bits").alias("bits_a"),
-                      F.col("shingles").alias("set_a"))
+    """The pairs whose full sets have a link."""
+    one = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b"))
+    two = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_a"))
     both = F.size(F.array_intersect("set_a", "set_b"))
     either = F.size("set_a") + F.size("set_b") - both
     return (pairs.join(one, "b").join(two, "a")
-            .where(estimate("bits_a", "bits_b") >= shingling.percent / 100 - MARGIN)
             .where(100 * both >= shingling.percent * either).select("a", "b"))
 
 
@@ -166,102 +176,108 @@ def link_documents(docs: DataFrame, shingling: Shingling, scratch: Scratch) -> D
     signed = scratch.keep("signatures", signatures(docs, shingling))
     classes = scratch.keep("classes", signed.where("n_shingles > 0 and doc_id is not null")
                            .groupBy("set_a", "set_b", "n_shingles")
-                           .agg(F.min("doc_id").alias("rep"), F.first("bits").alias("bits"),
-                                F.first("bands").alias("bands")))
+                           .agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")))
     members = scratch.keep("members", _shared_buckets(classes))
     wanted = members.select(F.col("rep").alias("doc_id")).distinct()
-    own = classes.select(F.col("rep").alias("doc_id"), "bits", "n_shingles")
+    sizes = classes.select(F.col("rep").alias("doc_id"), "n_shingles")
     sets = scratch.keep("sets", shingle_sets(docs.join(wanted, "doc_id", "left_semi"), shingling)
-                        .join(own, "doc_id").where(F.size("shingles") == F.col("n_shingles"))
+                        .join(sizes, "doc_id").where(F.size("shingles") == F.col("n_shingles"))
                         .dropDuplicates(["doc_id"]).drop("n_shingles"))
+    rows = scratch.keep("rows-0", members.join(
+        sets.select(F.col("doc_id").alias("rep"), "bits"), "rep").withColumn("label", F.col("rep")))
+    scratch.drop("members")
     scratch.free_shuffles()
 
-    links = scratch.keep("links-0", _confirm(
-        members.where("rep <> leader").groupBy(F.col("rep").alias("b"))
-        .agg(F.min("leader").alias("a")), sets, shingling))
-    labels = scratch.keep("labels-0", components(links, scratch))
-    step, found, final = 0, not links.isEmpty(), False
-    while not final:
-        step += 1
-        open_buckets = scratch.keep("open", _open_buckets(members, labels))
-        if open_buckets.isEmpty():
+    least = shingling.percent / 100 - MARGIN
+    labels, step = None, 0
+    while not rows.isEmpty():
+        links = scratch.keep(f"links-{step}", _confirm(_stars(rows, step, least), sets, shingling))
+        full = links.isEmpty()
+        if full:
+            links = scratch.keep(f"links-{step}", _confirm(
+                _all_differences(rows, least), sets, shingling))
+            if links.isEmpty():
+                break
+        labels = _merge_labels(labels, links, scratch, step)
+        if full:
             break
-        final = not found
-        pairs = _all_differences(open_buckets, sets, shingling) if final else _next_star(
-            open_buckets)
-        links = scratch.keep(f"links-{step}", _confirm(pairs, sets, shingling))
-        found = not links.isEmpty()
-        if found:
-            labels = _merge_labels(labels, links, scratch, f"labels-{step}")
-            scratch.drop(f"labels-{step - 1}")
-            final = False
-    joined = classes.select("set_a", "set_b", "n_shingles", "rep").join(
-        labels.select(F.col("node").alias("rep"), "label"), "rep", "left")
-    names = joined.select("set_a", "set_b", "n_shingles",
-                          F.coalesce("label", "rep").alias("component_id"))
+        rows = scratch.keep(f"rows-{step + 1}", _open_rows(rows, labels))
+        scratch.drop(f"rows-{step}", f"links-{step}")
+        step += 1
+    named = classes.select("set_a", "set_b", "n_shingles", F.col("rep").alias("component_id"))
+    if labels is not None:
+        named = (named.join(labels, F.col("component_id") == F.col("node"), "left")
+                 .withColumn("component_id", F.coalesce("label", "component_id"))
+                 .drop("node", "label"))
     return signed.select("doc_id", "n_shingles", "set_a", "set_b").join(
-        names, ["set_a", "set_b", "n_shingles"], "left").select(
+        named, ["set_a", "set_b", "n_shingles"], "left").select(
         "doc_id", "n_shingles",
         F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
         .alias("component_id"))
 
 
 def _shared_buckets(classes: DataFrame) -> DataFrame:
-    """(bucket, class) of the buckets that hold several classes, with the smallest one."""
+    """(bucket, class) of the buckets that hold several classes."""
     rows = classes.select("rep", F.explode("bands").alias("bucket"))
-    several = (rows.groupBy("bucket").agg(F.min("rep").alias("leader"), F.max("rep").alias("last"))
-               .where("leader < last").select("bucket", "leader"))
+    several = (rows.groupBy("bucket").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"))
+               .where("lo < hi").select("bucket"))
     return rows.join(several, "bucket")
 
 
-def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
-    return (members.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left")
-            .withColumn("label", F.coalesce("label", "rep")))
-
-
-def _open_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members of the buckets with more than one label; ``first`` is the smallest label's
-    smallest member."""
-    rows = _labelled(members.select("bucket", "rep"), labels)
-    several = (rows.groupBy("bucket")
-               .agg(F.min(F.struct("label", "rep")).alias("first"), F.max("label").alias("last"))
-               .where("first.label < last")
-               .select("bucket", F.col("first.label").alias("first_label"),
-                       F.col("first.rep").alias("first_rep")))
-    return rows.join(several, "bucket")
-
-
-def _next_star(open_buckets: DataFrame) -> DataFrame:
-    """One pair per member: with the smallest member of the smallest label it can meet."""
-    return (open_buckets.where("label <> first_label").groupBy(F.col("rep").alias("b"))
-            .agg(F.min(F.struct("first_label", "first_rep")).alias("first"))
-            .select("b", F.col("first.first_rep").alias("a")))
-
-
-def _all_differences(open_buckets: DataFrame, sets: DataFrame, shingling: Shingling) -> DataFrame:
+def _stars(rows: DataFrame, step: int, least: float) -> DataFrame:
+    """Per member and kind of leader the likeliest link to a leader of another label."""
+    picks = [F.min(F.struct(F.xxhash64("rep", F.lit(step * LEADERS + at)).alias("h"), "rep",
+                            "label", "bits")).alias(f"leader_{at}") for at in range(LEADERS)]
+    leaders = rows.groupBy("bucket").agg(*picks)
+    met = rows.join(leaders, "bucket")
+    best = []
+    for at in range(LEADERS):
+        met = met.withColumn(f"other_{at}", F.col(f"leader_{at}.bits"))
+        score = estimate("bits", f"other_{at}")
+        useful = (F.col("label") != F.col(f"leader_{at}.label")) & (score >= least)
+        best.append(F.max(F.when(useful, F.struct(
+            score.alias("score"), F.col(f"leader_{at}.rep").alias("rep")))).alias(f"best_{at}"))
+    chosen = met.groupBy("rep").agg(*best)
+    return (chosen.select("rep", F.explode(F.array(*[f"best_{at}.rep" for at in range(LEADERS)]))
+                          .alias("other")).where("other is not null")
+            .select(F.greatest("rep", "other").alias("b"), F.least("rep", "other").alias("a"))
+            .distinct())
+
+
+def _all_differences(rows: DataFrame, least: float) -> DataFrame:
     """Every pair with different labels that shares a bucket and may be a link."""
-    bits = sets.select(F.col("doc_id").alias("rep"), "bits")
-    rows = open_buckets.select("bucket", "rep", "label").join(bits, "rep")
-    other = rows.select("bucket", *[F.col(c).alias(f"{c}_2") for c in ("rep", "label", "bits")])
-    near = estimate("bits", "bits_2") >= shingling.percent / 100 - MARGIN
-    return (rows.join(other, (rows["bucket"] == other["bucket"])
-                      & (F.col("label") < F.col("label_2")) & near)
+    other = rows.select(*[F.col(c).alias(f"{c}_2") for c in ("bucket", "rep", "label", "bits")])
+    return (rows.join(other, (F.col("bucket") == F.col("bucket_2"))
+                      & (F.col("label") < F.col("label_2"))
+                      & (estimate("bits", "bits_2") >= least))
             .select(F.col("rep").alias("a"), F.col("rep_2").alias("b")).distinct())
 
 
-def _merge_labels(labels: DataFrame, links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+def _open_rows(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members with their new labels, of the buckets that still have more than one."""
+    new = (rows.drop("label").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
+           .withColumn("label", F.coalesce("label", "rep")))
+    several = (new.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+               .where("lo < hi").select("bucket"))
+    return new.join(several, "bucket")
+
+
+def _merge_labels(labels: DataFrame | None, links: DataFrame, scratch: Scratch,
+                  step: int) -> DataFrame:
     """Labels after further links: components over the labels themselves."""
-    of = labels.select("node", "label")
-    ends = (links.join(of.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left")
-            .join(of.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left")
+    if labels is None:
+        return scratch.keep(f"labels-{step}", components(links, scratch))
+    ends = (links.join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a",
+                       "left")
+            .join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left")
             .select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
             .where("a <> b"))
     merged = components(ends, scratch).withColumnRenamed("label", "top")
-    renamed = (of.join(merged.withColumnRenamed("node", "label"), "label", "left")
+    renamed = (labels.join(merged.withColumnRenamed("node", "label"), "label", "left")
                .select("node", F.coalesce("top", "label").alias("label")))
-    new = (merged.join(of.select("node"), "node", "left_anti")
+    new = (merged.join(labels.select("node"), "node", "left_anti")
            .select("node", F.col("top").alias("label")))
-    return scratch.keep(name, renamed.unionByName(new))
+    return scratch.keep(f"labels-{step}", renamed.unionByName(new))
 
 
 def mark_near_duplicates(docs: DataFrame, shingling: Shingling) -> DataFrame:
