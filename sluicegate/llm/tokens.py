@@ -12,12 +12,20 @@ from collections.abc import Callable
 
 import numpy as np
 
-CACHE_PIECES = 1_000_000
+CACHE_PIECES = 1_000_000  # in each of two generations of a task's memory
 
 # A space that does not follow a plain character: there the text stays in one piece.
-_NOT_PLAIN = "\x00-\x20\x7f-\xa0 ᠎ -⁯⺀-〿︀-️﻿"
-_UNCLEAR = re.compile(f"^ |[{_NOT_PLAIN}] ")
+_NOT_PLAIN = "\x00-\x20\x7f-\xa0\u1680\u180e\u2000-\u206f\u2e80-\u303f\ufe00-\ufe0f\ufeff"
 _CUT = re.compile(f"(?<=[^{_NOT_PLAIN}])(?= )")
+# Bytes that only plain characters and line ends have.
+_PLAIN_BYTES = bytes(b for b in range(256) if b == 10 or 32 <= b < 127
+                     or b > 127 and b not in (0xC2, 0xE1, 0xE2, 0xE3, 0xEF))
+
+
+def is_plain(text: bytes) -> bool:
+    """Whether every space of a text surely follows a plain character."""
+    return not (text[:1] == b" " or b"  " in text or b"\n " in text
+                or text.translate(None, _PLAIN_BYTES))
 
 
 class Encoder:
@@ -28,57 +36,73 @@ class Encoder:
 
         self._tokenizer = Tokenizer.from_file(path)
         added = self._tokenizer.get_added_tokens_decoder()
-        self._special = [token.content for token in added.values()]
         self._mark, self._mark_id = max((token.content, at) for at, token in added.items())
-        self._known: dict[str, bytes] = {}   # pieces as they stand
-        self._spaced: dict[str, bytes] = {}  # pieces that follow a space, without it
+        # Ids by piece; the pieces after a space stand without it.
+        self._first: dict[bytes, bytes] = {}
+        self._later: dict[bytes, bytes] = {}
+        self._older: dict[bytes, bytes] = {}
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        for known in (self._known, self._spaced):
-            if len(known) > CACHE_PIECES:
-                known.clear()
+        if len(self._later) > CACHE_PIECES:
+            self._older, self._later = self._later, {}
+        if len(self._first) > CACHE_PIECES:
+            self._first.clear()
         cut, gaps = [], {}
+        first_known, known, older = self._first.get, self._later.get, self._older.get
         for text in texts:
-            text = text.decode("utf-8", "replace")
-            if _UNCLEAR.search(text):
-                whole, words = _CUT.split(text), []
-            else:
-                first, *words = text.split(" ")
+            if is_plain(text):
+                first, *words = text.split(b" ")
                 whole = [first]
-            found = [*map(self._known.get, whole), *map(self._spaced.get, words)]
-            at = -1
-            for _ in range(found.count(None)):
+            else:
+                whole = [part.encode() for part in _CUT.split(text.decode("utf-8", "replace"))]
+                words = []
+            found = [*map(first_known, whole), *map(known, words)]
+            lacking, at, shift = found.count(None), -1, len(whole)
+            for _ in range(lacking):
                 at = found.index(None, at + 1)
-                piece = whole[at] if at < len(whole) else " " + words[at - len(whole)]
-                gaps.setdefault(piece, []).append((found, at))
+                if at < shift:
+                    piece = whole[at]
+                else:
+                    word = words[at - shift]
+                    ids = older(word)
+                    if ids is not None:
+                        found[at] = self._later[word] = ids
+                        continue
+                    piece = b" " + word
+                places = gaps.get(piece)
+                if places is None:
+                    gaps[piece] = [found, at]
+                else:
+                    places += (found, at)
             cut.append(found)
         if gaps:
             self._learn(gaps)
         return list(map(b"".join, cut))
 
-    def _learn(self, gaps: dict[str, list[tuple[list, int]]]) -> None:
+    def _learn(self, gaps: dict[bytes, list]) -> None:
         """Encode new pieces in few calls, set apart by a special token that cuts the text."""
-        odd = [piece for piece in gaps if any(s in piece for s in self._special)]
-        for piece in odd:
-            ids = self._tokenizer.encode(piece, add_special_tokens=False).ids
-            self._fill(piece, np.array(ids, "<u4").tobytes(), gaps.pop(piece))
-        plain = list(gaps)
+        plain = [piece for piece in gaps if b"<|" not in piece]
         for at in range(0, len(plain), 256):
             some = plain[at:at + 256]
-            joined = self._mark.join(some) + self._mark
+            joined = self._mark.join([p.decode("utf-8", "replace") for p in some]) + self._mark
             ids = np.array(self._tokenizer.encode(joined, add_special_tokens=False).ids, "<u4")
-            ends = np.flatnonzero(ids == self._mark_id).tolist()
+            ends = (4 * np.flatnonzero(ids == self._mark_id)).tolist()
             data, start = ids.tobytes(), 0
             for piece, end in zip(some, ends, strict=True):
-                self._fill(piece, data[4 * start:4 * end], gaps[piece])
-                start = end + 1
-
-    def _fill(self, piece: str, ids: bytes, places: list[tuple[list, int]]) -> None:
-        if piece.startswith(" "):
-            self._spaced[piece[1:]] = ids
+                self._fill(piece, data[start:end], gaps[piece])
+                start = end + 4
+        for piece, places in gaps.items():
+            if b"<|" in piece:
+                ids = self._tokenizer.encode(piece.decode("utf-8", "replace"),
+                                             add_special_tokens=False).ids
+                self._fill(piece, np.array(ids, "<u4").tobytes(), places)
+
+    def _fill(self, piece: bytes, ids: bytes, places: list) -> None:
+        if piece[:1] == b" ":
+            self._later[piece[1:]] = ids
         else:
-            self._known[piece] = ids
-        for found, at in places:
+            self._first[piece] = ids
+        for found, at in zip(places[::2], places[1::2]):
             found[at] = ids
 
 
