@@ -99,10 +99,12 @@ def _directory(numbered: DataFrame, bits: int, limit: int) -> DataFrame:
 def write_shards(docs: DataFrame, path: str, limit_bytes: int = LIMIT_BYTES) -> DataFrame:
     """Write the documents with a folder per shard; returns the directory of shards.
 
-    ``doc_id`` must name a document. All columns are kept.
+    A folder's name is ``b`` and the shard's bits, so that readers take it for text. ``doc_id``
+    must name a document. All columns are kept.
     """
     scratch = Scratch(docs.sparkSession, "shards")
-    placed = scratch.keep("assigned", assign_shards(docs, limit_bytes, scratch=scratch))
+    placed = scratch.keep("assigned", assign_shards(docs, limit_bytes, scratch=scratch).withColumn(
+        "shard", F.concat(F.lit("b"), "shard")))
     named = docs.join(placed.select("doc_id", "shard").distinct(), "doc_id")
     named.repartition("shard").write.partitionBy("shard").parquet(path)
     return placed.groupBy("shard").agg(F.first("shard_docs").alias("shard_docs"),
