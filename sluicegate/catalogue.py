@@ -12,7 +12,7 @@ from .operators import bloom, histogram, keystore, reports, single
 from .operators import normalize as N
 from .operators.chain import verify_chain
 from .plans.checks import CustomCheck, default_checks
-from .plans.scratch import new_path
+from .plans.scratch import Scratch, with_settings
 from .sources import kafka
 from .sources.envelope import RECORD_SCHEMA, stream_records, verdict_stream
 from .sources.records import load_records
@@ -511,7 +511,7 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     """The chain as a stream that is stopped and resumed, then all its verdicts."""
     records = _records(spark, sf_dir)
-    path = new_path(spark, "stream")
+    path = Scratch(spark, "stream").path("run")
     cut = records.agg(F.floor((F.max("arrival_seq") + 1) / 2)).scalar()
     first_half = F.col("arrival_seq") < cut
     consumer = Consumer(f"{path}/out")
@@ -524,7 +524,7 @@ def _(spark, sf_dir):
 
 def _topic_stream(spark, sf_dir, payload):
     """Topic rows as a stream in four micro-batches over two starts."""
-    rows, path = _topic_rows(spark, sf_dir), new_path(spark, "topic")
+    rows, path = _topic_rows(spark, sf_dir), Scratch(spark, "topic").path("run")
     consumer = Consumer(f"{path}/out", payload=payload)
     edges = _records(spark, sf_dir).agg(F.min("timestamp").alias("lo"),
                                         F.max("timestamp").alias("hi"))
@@ -557,16 +557,11 @@ def _(spark, sf_dir):
 @query("stream_lane_verify")
 def _(spark, sf_dir):
     """One lane per topic partition with keyed state, and a key store that forgets nothing."""
-    provider = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(provider)
-    spark.conf.set(provider, ROCKSDB)
-    try:
-        path = new_path(spark, "lanes")
-        (_records(spark, sf_dir).select(*RECORD_SCHEMA.names).write.parquet(f"{path}/in"))
-        verdicts = verify_stream(stream_records(spark, f"{path}/in"),
-                                 checks=default_checks(cap=None, ttl_ms=None))
-        (verdict_stream(verdicts, f"{path}/out", f"{path}/checkpoint")
-         .trigger(availableNow=True).start().awaitTermination())
-    finally:
-        spark.conf.set(provider, before)
+    other = with_settings(spark, {"spark.sql.streaming.stateStore.providerClass": ROCKSDB})
+    path = Scratch(spark, "lanes").path("run")
+    _records(spark, sf_dir).select(*RECORD_SCHEMA.names).write.parquet(f"{path}/in")
+    verdicts = verify_stream(stream_records(other, f"{path}/in"),
+                             checks=default_checks(cap=None, ttl_ms=None))
+    (verdict_stream(verdicts, f"{path}/out", f"{path}/checkpoint")
+     .trigger(availableNow=True).start().awaitTermination())
     return _place(spark.read.parquet(f"{path}/out"), *_VERDICT)

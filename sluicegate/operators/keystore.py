@@ -43,17 +43,18 @@ def evict_by_size(store: DataFrame, cap: int = STORE_SIZE,
                   chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Keep the ``cap`` newest keys.
 
-    Counts per chunk of the store order tell from which chunk on the newest keys come, so
-    the final sort sees little more than ``cap`` rows and not ``cap`` rows of every task.
+    Counts per chunk of the store order tell which chunks hold them. Only the keys of those
+    chunks are ranked, each chunk on its own, so no task sorts more than a chunk.
     """
     chunk = chunk_column("stored_seq", 0, chunk_rows)
-    newer = Window.orderBy(F.desc("chunk")).rowsBetween(Window.unboundedPreceding, -1)
-    first_chunk = (store.groupBy(chunk.alias("chunk")).agg(F.count("*").alias("n"))
-                   .withColumn("newer", F.coalesce(F.sum("n").over(newer), F.lit(0)))
-                   .where(F.col("newer") < cap)
-                   .agg(F.min("chunk")).scalar())
-    return (store.where(chunk >= first_chunk)
-            .orderBy(F.desc("stored_ms"), F.desc("stored_seq")).limit(cap))
+    newer = Window.orderBy(F.desc("_chunk")).rowsBetween(Window.unboundedPreceding, -1)
+    needed = (store.groupBy(chunk.alias("_chunk")).agg(F.count("*").alias("_n"))
+              .withColumn("_newer", F.coalesce(F.sum("_n").over(newer), F.lit(0)))
+              .where(F.col("_newer") < cap).select("_chunk", "_newer"))
+    place = F.row_number().over(Window.partitionBy("_chunk").orderBy(F.desc("stored_seq")))
+    return (store.withColumn("_chunk", chunk).join(needed, "_chunk")
+            .withColumn("_place", place).where(F.col("_newer") + F.col("_place") <= cap)
+            .select(*store.columns))
 
 
 def live_keys(log: DataFrame, cap: int = STORE_SIZE, ttl_ms: int = STORE_TTL_MS) -> DataFrame:

@@ -31,6 +31,16 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def with_settings(spark: SparkSession, settings: dict[str, str]) -> SparkSession:
+    """A session of the same application with settings of its own; the caller's stay as they are."""
+    other = spark.newSession()
+    for name in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
+        other.conf.set(name, spark.conf.get(name))
+    for name, value in settings.items():
+        other.conf.set(name, value)
+    return other
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a scratch table and read it back."""
     path = new_path(df.sparkSession, name)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.headers import MESSAGE_ID, SENDER, SENDER_TIMESTAMP
 from ..plans.arrival import CHUNK_ROWS, assign_arrival_seq, chunk_column
 from ..plans.running import running_before
-from ..plans.scratch import materialise
+from ..plans.scratch import Scratch, with_settings
 
 TOPIC = "events"
 _cache: dict[tuple, DataFrame] = {}
@@ -85,12 +85,10 @@ def load_records(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
     """Derived records of a data folder, written once per application."""
     key = (spark.sparkContext.applicationId, sf_dir, *sorted(options.items()))
     if key not in _cache:
-        # Epoch times are taken from zone-less timestamps, so the session zone must be fixed.
-        zone = spark.conf.get("spark.sql.session.timeZone")
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
-        try:
-            events = spark.read.parquet(f"{sf_dir}/events.parquet")
-            _cache[key] = materialise(derive_records(events, **options), "records")
-        finally:
-            spark.conf.set("spark.sql.session.timeZone", zone)
+        # Epoch times are taken from zone-less timestamps, so the zone must be fixed for that.
+        other = with_settings(spark, {"spark.sql.session.timeZone": "UTC"})
+        records = derive_records(other.read.parquet(f"{sf_dir}/events.parquet"), **options)
+        path = Scratch(spark, "records").path("derived")
+        records.write.parquet(path)
+        _cache[key] = spark.read.schema(records.schema).parquet(path)
     return _cache[key]
