@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 import numpy as np
 
-CACHE_PIECES = 1_000_000  # in each of two generations of a task's memory
+CACHE_PIECES = 400_000  # in each of two generations of a task's memory
 
 # A space that does not follow a plain character: there the text stays in one piece.
 _NOT_PLAIN = "\x00-\x20\x7f-\xa0\u1680\u180e\u2000-\u206f\u2e80-\u303f\ufe00-\ufe0f\ufeff"
