@@ -41,7 +41,7 @@ INNER = 8
 _RUNS = pa.schema([("minimiser", pa.int64()), ("content", pa.int64()), ("doc_id", pa.int64()),
                    ("start", pa.int32()), ("n", pa.int32()), ("loops", pa.bool_())])
 _EDGES = pa.schema([("minimiser", pa.int64()), ("edge", pa.int64()), ("doc_id", pa.int64()),
-                    ("start", pa.int32())])
+                    ("start", pa.int32()), ("first_start", pa.int32())])
 _KEPT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()),
                    ("kept_sha256", pa.string())])
 
@@ -109,7 +109,10 @@ def window_runs(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
 
 def _expand(docs: DataFrame, places: DataFrame, width: int) -> DataFrame:
-    """The edges of paths at their sources; a document's paths come as one list."""
+    """The edges of paths at their sources, with the edge's first place in the document.
+
+    A document's paths come as one list.
+    """
     lists = places.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("paths"))
 
     def work():
@@ -129,15 +132,17 @@ def _expand(docs: DataFrame, places: DataFrame, width: int) -> DataFrame:
                 at = np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
                 at = np.unique(at[at < len(least)])
                 edge = windows.rolling.spans(sums, at, at + width)
+                _, first, which = np.unique(edge, return_index=True, return_inverse=True)
                 out.append((least[at].astype(np.int64), edge.astype(np.int64),
-                            np.full(len(at), doc, np.int64), at.astype(np.int32)))
+                            np.full(len(at), doc, np.int64), at.astype(np.int32),
+                            at[first][which].astype(np.int32)))
             if not out:
                 return None
             return dict(zip(_EDGES.names, [np.concatenate(c) for c in zip(*out)]))
 
         return step
 
-    return map_texts(docs.join(lists, "doc_id"), work, _EDGES, "paths")
+    return map_texts(docs.select("doc_id", "text").join(lists, "doc_id"), work, _EDGES, "paths")
 
 
 def repeated_pieces(docs: DataFrame, scratch: Scratch, width: int = WIDTH) -> DataFrame:
@@ -158,18 +163,25 @@ def repeated_pieces(docs: DataFrame, scratch: Scratch, width: int = WIDTH) -> Da
     copies = scratch.keep("copies", copies.select("doc_id", "start", "n", "source"))
     scratch.drop("repeated-runs")
 
-    branching = (paths.groupBy("minimiser").agg(F.count("*").alias("k"), F.max("loops").alias("loop"))
+    branching = (paths.groupBy("minimiser")
+                 .agg(F.count("*").alias("k"), F.max("loops").alias("loop"))
                  .where("k > 1 or loop").select("minimiser"))
     places = paths.join(branching, "minimiser").select(
         F.col("source.doc_id").alias("doc_id"), F.col("source.start").alias("start"), "n")
     edges = scratch.keep("edges", _expand(docs, places, width))
     scratch.drop("paths")
     scratch.free_shuffles()
+    # An edge that its own document has earlier is settled; one row per document is compared.
+    own = edges.where("first_start < start").select(
+        "doc_id", "start", F.struct("doc_id", F.col("first_start").alias("start")).alias("source"))
+    edges = edges.where("first_start = start")
     first = edges.groupBy("minimiser", "edge").agg(
         F.min(F.struct("doc_id", "start")).alias("source"), F.count("*").alias("k")).where("k > 1")
     later = edges.join(first, ["minimiser", "edge"]).where(
-        (F.col("doc_id") != F.col("source.doc_id")) | (F.col("start") != F.col("source.start")))
-    return copies.unionByName(later.select("doc_id", "start", F.lit(1).alias("n"), "source"))
+        (F.col("doc_id") != F.col("source.doc_id")) | (F.col("start") != F.col("source.start"))
+    ).select("doc_id", "start", "source")
+    return copies.unionByName(later.unionByName(own).select(
+        "doc_id", "start", F.lit(1).alias("n"), "source"))
 
 
 def repeated_spans(docs: DataFrame, scratch: Scratch, width: int = WIDTH) -> DataFrame:
@@ -212,7 +224,8 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     scratch.free_shuffles()
     lists = spans.groupBy("doc_id").agg(
         F.collect_list(F.struct("first_word", "n_words")).alias("spans"))
-    return map_texts(docs.join(lists, "doc_id", "left"), _cut, _KEPT, "spans")
+    texts = docs.select("doc_id", "text").join(lists, "doc_id", "left")
+    return map_texts(texts, _cut, _KEPT, "spans")
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
