@@ -168,7 +168,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str, usable: Column,
         return pa.table([[fit_texts(texts, table.column("_label").to_pylist())]], schema=_MODEL)
 
     # A bounded number of rows, so one group may hold them all.
-    found = rows.withColumn("_all", F.lit(0)).groupBy("_all").applyInArrow(fit, from_arrow_schema(_MODEL)).collect()
+    found = (rows.withColumn("_all", F.lit(0)).groupBy("_all")
+             .applyInArrow(fit, from_arrow_schema(_MODEL)).collect())
     return bytes(found[0]["model"]) if found else None
 
 
