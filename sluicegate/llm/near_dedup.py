@@ -12,8 +12,9 @@
    labels. Buckets whose members all have one label are done; the others get another round
    with other leaders as long as a round finds links.
 4. What is left is compared in full: all members with different labels in a bucket whose
-   estimate allows a link. These are the few documents of a family that are at its rim, so
-   no link between different components is lost.
+   estimate allows a link. First those go that cannot have any link, because too few of their
+   shingles occur in any other member; what stays is the rim of a family that no leader
+   reached, so no link between different components is lost.
 
 The chance that a link of similarity 0.8 shares no band is 5e-8; more similar pairs are safer.
 
@@ -194,8 +195,11 @@ def link_documents(docs: DataFrame, shingling: Shingling, scratch: Scratch) -> D
         links = scratch.keep(f"links-{step}", _confirm(_stars(rows, step, least), sets, shingling))
         full = links.isEmpty()
         if full:
+            scratch.free_shuffles()
+            able = scratch.keep("able", _able(rows, sets, shingling))
+            rim = rows.join(able, "rep").join(classes.select("rep", "bands"), "rep")
             links = scratch.keep(f"links-{step}", _confirm(
-                _all_differences(rows, least), sets, shingling))
+                _all_differences(rim, least), sets, shingling))
             if links.isEmpty():
                 break
         labels = _merge_labels(labels, links, scratch, step)
@@ -244,13 +248,32 @@ def _stars(rows: DataFrame, step: int, least: float) -> DataFrame:
             .distinct())
 
 
+def _able(rows: DataFrame, sets: DataFrame, shingling: Shingling) -> DataFrame:
+    """Members that can have a link at all: enough of their shingles occur in another member.
+
+    A similarity is at most the share of shingles that others have, so this loses nothing.
+    """
+    names = rows.select(F.col("rep").alias("doc_id")).distinct()
+    own = sets.join(names, "doc_id").select("doc_id", F.size("shingles").alias("size"),
+                                            F.explode("shingles").alias("shingle"))
+    shared = own.groupBy("shingle").agg(F.count("*").alias("k")).where("k > 1").select("shingle")
+    return (own.join(shared, "shingle").groupBy("doc_id", "size").agg(F.count("*").alias("k"))
+            .where(100 * F.col("k") >= shingling.percent * F.col("size"))
+            .select(F.col("doc_id").alias("rep")))
+
+
 def _all_differences(rows: DataFrame, least: float) -> DataFrame:
-    """Every pair with different labels that shares a bucket and may be a link."""
-    other = rows.select(*[F.col(c).alias(f"{c}_2") for c in ("bucket", "rep", "label", "bits")])
+    """Every pair with different labels that shares a bucket and may be a link.
+
+    A pair comes out of the smallest bucket that it shares, so once only.
+    """
+    other = rows.select(*[F.col(c).alias(f"{c}_2")
+                          for c in ("bucket", "rep", "label", "bits", "bands")])
     return (rows.join(other, (F.col("bucket") == F.col("bucket_2"))
                       & (F.col("label") < F.col("label_2"))
-                      & (estimate("bits", "bits_2") >= least))
-            .select(F.col("rep").alias("a"), F.col("rep_2").alias("b")).distinct())
+                      & (estimate("bits", "bits_2") >= least)
+                      & (F.array_min(F.array_intersect("bands", "bands_2")) == F.col("bucket")))
+            .select(F.col("rep").alias("a"), F.col("rep_2").alias("b")))
 
 
 def _open_rows(rows: DataFrame, labels: DataFrame) -> DataFrame:
