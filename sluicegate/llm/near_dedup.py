@@ -13,7 +13,7 @@
    with other leaders as long as a round finds links.
 4. What is left is compared in full: all members with different labels in a bucket whose
    estimate allows a link. First those go that cannot have any link, because too few of their
-   shingles occur in any other member; what stays is the rim of a family that no leader
+   shingles occur under any other label; what stays is the rim of a family that no leader
    reached, so no link between different components is lost.
 
 The chance that a link of similarity 0.8 shares no band is 5e-8; more similar pairs are safer.
@@ -199,7 +199,7 @@ def link_documents(docs: DataFrame, shingling: Shingling, scratch: Scratch) -> D
             able = scratch.keep("able", _able(rows, sets, shingling))
             rim = rows.join(able, "rep").join(classes.select("rep", "bands"), "rep")
             links = scratch.keep(f"links-{step}", _confirm(
-                _all_differences(rim, least), sets, shingling))
+                _all_differences(rim, least, shingling.percent), sets, shingling))
             if links.isEmpty():
                 break
         labels = _merge_labels(labels, links, scratch, step)
@@ -249,28 +249,34 @@ def _stars(rows: DataFrame, step: int, least: float) -> DataFrame:
 
 
 def _able(rows: DataFrame, sets: DataFrame, shingling: Shingling) -> DataFrame:
-    """Members that can have a link at all: enough of their shingles occur in another member.
+    """Members that can have a link to another label: enough of their shingles occur there.
 
-    A similarity is at most the share of shingles that others have, so this loses nothing.
+    A similarity is at most the share of shingles that the other side has, so this loses nothing.
+    ``k`` is the number of those shingles.
     """
-    names = rows.select(F.col("rep").alias("doc_id")).distinct()
-    own = sets.join(names, "doc_id").select("doc_id", F.size("shingles").alias("size"),
+    names = rows.select(F.col("rep").alias("doc_id"), "label").distinct()
+    own = sets.join(names, "doc_id").select("doc_id", "label", F.size("shingles").alias("size"),
                                             F.explode("shingles").alias("shingle"))
-    shared = own.groupBy("shingle").agg(F.count("*").alias("k")).where("k > 1").select("shingle")
+    shared = (own.groupBy("shingle").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+              .where("lo < hi").select("shingle"))
     return (own.join(shared, "shingle").groupBy("doc_id", "size").agg(F.count("*").alias("k"))
             .where(100 * F.col("k") >= shingling.percent * F.col("size"))
-            .select(F.col("doc_id").alias("rep")))
+            .select(F.col("doc_id").alias("rep"), "k", "size"))
 
 
-def _all_differences(rows: DataFrame, least: float) -> DataFrame:
+def _all_differences(rows: DataFrame, least: float, percent: int) -> DataFrame:
     """Every pair with different labels that shares a bucket and may be a link.
 
-    A pair comes out of the smallest bucket that it shares, so once only.
+    Two sets share at most the shingles that either has in common with other labels, and their
+    union has all the rest; that bounds the similarity exactly. A pair comes out of the smallest
+    bucket that it shares, so once only.
     """
     other = rows.select(*[F.col(c).alias(f"{c}_2")
-                          for c in ("bucket", "rep", "label", "bits", "bands")])
+                          for c in ("bucket", "rep", "label", "bits", "bands", "k", "size")])
+    most = F.least("k", "k_2")
     return (rows.join(other, (F.col("bucket") == F.col("bucket_2"))
                       & (F.col("label") < F.col("label_2"))
+                      & (100 * most >= percent * (F.col("size") + F.col("size_2") - most))
                       & (estimate("bits", "bits_2") >= least)
                       & (F.array_min(F.array_intersect("bands", "bands_2")) == F.col("bucket")))
             .select(F.col("rep").alias("a"), F.col("rep_2").alias("b")))
