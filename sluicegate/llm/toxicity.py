@@ -5,7 +5,8 @@
 2. Words that look disguised are restored: digits and signs for letters, separators inside a
    word, letters drawn out, and letters set apart by spaces. The possible readings of each
    character form a lattice; Viterbi decoding finds the reading that the channel and the
-   language model together make likeliest.
+   language model together make likeliest. Of letters set apart by spaces, every gap may be a
+   word border: all words on a reading at most ``MARGIN`` dearer than the best are scored.
 3. The restored text is scored: a logistic regression over the words and word beginnings that
    toxic rows of a bounded labelled sample have far more often than others. Only those count,
    each once, so long clean texts gather no score.
@@ -23,6 +24,7 @@ from __future__ import annotations
 import json
 import math
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
@@ -43,6 +45,7 @@ MAX_FEATURES = 20_000
 BASE = -4.0           # log odds of a text without any telling feature
 LONGEST_WORD = 64   # longer tokens are not words; they are scored as they stand
 BEAM = 48
+MARGIN = 12.0       # in nats; about two word borders that the language model has not seen
 # The alphabet of the language model; other characters are one more symbol.
 LETTERS = "abcdefghijklmnopqrstuvwxyzàáâäãåæçèéêëìíîïñòóôöõøœùúûüýÿß"
 # Letters that a digit or sign may stand for.
@@ -55,6 +58,7 @@ SYMBOLS = 64
 _OTHER = len(LETTERS)
 _SYMBOL = {letter: at for at, letter in enumerate(LETTERS)}
 _SUBSTITUTION, _SEPARATION, _REPETITION, _PLAIN_SIGN = 0.5, 0.3, 0.4, 6.0
+MAX_SINGLE_BYTES = 12  # a character with its marks has no more
 _COUNTS = pa.schema([("code", pa.int32()), ("n", pa.int64())])
 _SCORES = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 _DRAWN_OUT = re.compile(r"(\w)\1\1")
@@ -111,7 +115,7 @@ class Decoder:
     """Viterbi decoding of a disguised word."""
 
     def __init__(self, costs: np.ndarray):
-        self._costs = costs.tolist()
+        self._table, self._costs = costs, costs.tolist()
 
     def lattice(self, word: str) -> list[list[tuple[str, float]]]:
         """Per character its readings (a letter, or nothing) with the channel's costs."""
@@ -153,6 +157,86 @@ class Decoder:
         return min((cost + self._costs[a][b][_OTHER], text)
                    for (a, b), (cost, text) in paths.items())[1]
 
+    def letters(self, run: str) -> str:
+        """The likeliest letters of a run in which every gap may be a word border."""
+        costs = self._costs
+        paths = {(_OTHER, _OTHER): (0.0, None)}
+        for readings in self.lattice(run):
+            step: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+            for (first, second), (cost, path) in paths.items():
+                froms = [(first, second, cost)]
+                if second != _OTHER:
+                    froms.append((second, _OTHER, cost + costs[first][second][_OTHER]))
+                for a, b, start in froms:
+                    row = costs[a][b]
+                    for letter, price in readings:
+                        if letter:
+                            third = _SYMBOL[letter]
+                            state, total = (b, third), start + price + row[third]
+                        else:
+                            state, total = (a, b), start + price
+                        known = step.get(state)
+                        if known is None or total < known[0]:
+                            step[state] = total, (path, letter) if letter else path
+            if len(step) > BEAM:
+                step = dict(sorted(step.items(), key=lambda item: item[1][0])[:BEAM])
+            paths = step
+        path = min((cost + costs[a][b][_OTHER], at, path)
+                   for at, ((a, b), (cost, path)) in enumerate(paths.items()))[2]
+        found = []
+        while path is not None:
+            path, letter = path
+            found.append(letter)
+        return "".join(reversed(found))
+
+    def pieces(self, text: str) -> set[str]:
+        """Words of a text without spaces, on readings at most ``MARGIN`` dearer than the best."""
+        n, table = len(text), self._table
+        if n < 2:
+            return {text} if text else set()
+        at = np.array([_SYMBOL.get(char, _OTHER) for char in text], np.int32)
+        before = np.concatenate(([_OTHER], at[:-1]))
+        # Costs of a word's first and second letter, of later ones, and of an end after them.
+        first = table[before, _OTHER, at].astype(float)
+        second = np.append(table[_OTHER, at[:-1], at[1:]], 0.0).astype(float)
+        later = np.concatenate(([0.0, 0.0], table[at[:-2], at[1:-1], at[2:]])).astype(float)
+        lone = table[_OTHER, at, _OTHER].astype(float)
+        end = np.concatenate(([np.inf, np.inf], table[at[:-1], at[1:], _OTHER])).astype(float)
+        fi, se, la, lo, en = (x.tolist() for x in (first, second, later, lone, end))
+        # Cheapest ways to a border at each place, and from there to the end.
+        ahead, inside = [0.0] * (n + 1), math.inf
+        for q in range(1, n + 1):
+            if q > 1:
+                inside = min(inside + la[q - 1], ahead[q - 2] + fi[q - 2] + se[q - 2])
+            ahead[q] = min(ahead[q - 1] + fi[q - 1] + lo[q - 1], inside + en[q])
+        rest, within = [0.0] * (n + 1), [math.inf] * (n + 2)
+        within[n] = en[n]
+        for p in range(n - 1, -1, -1):
+            rest[p] = fi[p] + min(lo[p] + rest[p + 1], se[p] + within[p + 2])
+            within[p] = min(en[p] + rest[p], la[p] + within[p + 1])
+        limit = ahead[n] + MARGIN
+        sums, to_end = np.concatenate(([0.0], np.cumsum(later))), end + np.array(rest)
+        found = set()
+        for p in range(n - 1):
+            if ahead[p] + rest[p] > limit:
+                continue
+            stop = min(n, p + LONGEST_WORD)
+            cost = (ahead[p] + fi[p] + se[p] + to_end[p + 2:stop + 1]
+                    + sums[p + 2:stop + 1] - sums[p + 2])
+            found.update(text[p:p + 2 + q] for q in np.flatnonzero(cost <= limit).tolist())
+            if ahead[p] + fi[p] + se[p] + sums[stop] - sums[p + 2] + within[stop] <= limit:
+                found.add(text[p:stop])  # how a longer word begins
+        return found
+
+    def words_in(self, run: str) -> set[str]:
+        """Words of a run of single characters, as they stand and restored."""
+        if not any(char.isalpha() for char in run):
+            return set()
+        found = self.pieces(run)
+        if not run.isalpha() or _DRAWN_OUT.search(run):
+            found |= self.pieces(self.letters(run))
+        return found
+
 
 def looks_disguised(word: str) -> bool:
     """Letters mixed with signs or digits, or a letter drawn out."""
@@ -204,7 +288,13 @@ class Words(dict):
 
     def tokens(self, text: bytes) -> list[bytes]:
         words = text.split()
-        return words + spaced_runs(words)
+        found = list(words)
+        for run in spaced_runs(words):
+            letters = run.decode("utf-8", "replace").lower()
+            if len(letters) <= LONGEST_WORD:
+                found.append(run)
+            found += [word.encode() for word in sorted(self._decoder.words_in(letters))]
+        return found
 
     def of(self, text: bytes) -> np.ndarray:
         """Numbers of the known features in a text, each once."""
@@ -212,17 +302,40 @@ class Words(dict):
         return np.unique(np.frombuffer(found, np.uint32))
 
 
+class Singles(dict):
+    """The character of a word that has only one besides marks at its end; else nothing."""
+
+    LIMIT = 100_000
+
+    def __missing__(self, word: bytes) -> bytes:
+        text = unicodedata.normalize("NFC", word.decode("utf-8", "replace"))
+        if len(text) > 1:
+            text = text.rstrip(_TRAILING + "!…“”’»")
+        value = text.encode() if len(text) == 1 else b""
+        if len(self) >= self.LIMIT:
+            self.clear()
+        self[word] = value
+        return value
+
+
+_SINGLES = Singles()
+
+
 def spaced_runs(words: list[bytes]) -> list[bytes]:
     """Words of one character, at least three in a row, put together."""
     n = len(words)
     if n < 3:
         return []
-    single = np.fromiter(map(len, words), np.int32, n) == 1
+    single = np.fromiter(map(len, words), np.int32, n) <= MAX_SINGLE_BYTES
+    some = np.flatnonzero(single)
+    letters = [_SINGLES[words[at]] for at in some.tolist()]
+    single[some] = list(map(bool, letters))
     if not single.any():
         return []
+    held = dict(zip(some.tolist(), letters))
     edges = np.flatnonzero(np.diff(np.concatenate(([0], single.astype(np.int8), [0]))))
-    return [b"".join(words[a:b])[:LONGEST_WORD] for a, b in zip(edges[::2], edges[1::2])
-            if b - a >= 3]
+    return [b"".join([held[at] for at in range(a, b)])
+            for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()) if b - a >= 3]
 
 
 def telling_features(rows: list[set[str]], labels: list[int]) -> list[str]:

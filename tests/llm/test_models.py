@@ -106,6 +106,51 @@ def test_spaced_letters_are_put_together():
     assert toxicity.spaced_runs(b"a b".split()) == []
 
 
+@pytest.mark.parametrize("text,word", [
+    ("you are a s t u p i d person", "stupid"), ("I i d i o t", "idiot"),
+    ("y o u i d i o t", "idiot"), ("a s t u p i d i d i o t", "idiot"),
+    ("a 5 t u p 1 d c l o w n .", "clown"), ("c r é t i n", "crétin"),
+    ("c r e\u0301 t i n", "crétin"), ("t h e s t u p i d, a n d", "stupid"),
+    (" ".join("thegoodpersonandtheletter" * 4) + " m o r o n", "moron")])
+def test_every_word_of_spaced_out_text_is_found(decoder, text, word):
+    assert word.encode() in toxicity.Words(decoder._table).tokens(text.encode())
+
+
+def test_pieces_equal_all_segmentations(decoder):
+    import itertools
+
+    cost = decoder._costs
+    for text in ("goodclown", "athe", "xidiot"):
+        n, ways = len(text), []
+        for cuts in itertools.product((False, True), repeat=n - 1):
+            borders = [0] + [at + 1 for at, cut in enumerate(cuts) if cut] + [n]
+            words = [text[a:b] for a, b in zip(borders, borders[1:])]
+            at = [toxicity._SYMBOL.get(c, toxicity._OTHER) for c in "  " + " ".join(words) + " "]
+            ways.append((sum(cost[a][b][c] for a, b, c in zip(at, at[1:], at[2:])), words))
+        limit = min(ways)[0] + toxicity.MARGIN
+        want = {word for total, words in ways if total <= limit for word in words}
+        assert decoder.pieces(text) == {word for word in want if len(word) > 1}
+
+
+def test_spelt_out_texts_are_scored_whole(spark):
+    rng = random.Random(6)
+    rows, labels = [], []
+    for i in range(400):
+        words = ("the good person and a letter " * 7).split()
+        rng.shuffle(words)
+        if i % 5 == 0:
+            words.insert(rng.randrange(40), rng.choice(["stupid", "crétin"]))
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(i % 5 == 0)))
+    spelt = " ".join("thegoodpersonandaletter" * 5)
+    tests = {1_000: "you are a s t u p i d person", 1_001: "y o u s t u p i d",
+             1_002: "a c r é t i n", 1_003: spelt + " s t u p i d", 1_004: spelt}
+    docs = make_docs(spark, rows + list(tests.items()))
+    got = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(
+        docs, spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    assert min(got[i] for i in range(1_000, 1_004)) >= 0.3 > got[1_004]
+
+
 def test_disguised_toxic_texts_are_caught(spark):
     rng = random.Random(5)
     rows, labels = [], []
