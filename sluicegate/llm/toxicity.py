@@ -7,6 +7,7 @@
    character form a lattice; Viterbi decoding finds the reading that the channel and the
    language model together make likeliest. Of letters set apart by spaces, every gap may be a
    word border: all words on a reading at most ``MARGIN`` dearer than the best are scored.
+   Of a token with signs inside, the parts between the signs are words as well.
 3. The restored text is scored: a logistic regression over the words and word beginnings that
    toxic rows of a bounded labelled sample have far more often than others. Only those count,
    each once, so long clean texts gather no score.
@@ -43,7 +44,7 @@ LEAST_ROWS = 4        # toxic training rows that a feature needs
 LEAST_EXCESS = 5.0    # and by how many standard deviations it must exceed the share
 MAX_FEATURES = 20_000
 BASE = -4.0           # log odds of a text without any telling feature
-LONGEST_WORD = 64   # longer tokens are not words; they are scored as they stand
+LONGEST_WORD = 64   # longer tokens are not words; they are decoded in the parts between signs
 BEAM = 48
 MARGIN = 12.0       # in nats; about two word borders that the language model has not seen
 # The alphabet of the language model; other characters are one more symbol.
@@ -58,10 +59,17 @@ SYMBOLS = 64
 _OTHER = len(LETTERS)
 _SYMBOL = {letter: at for at, letter in enumerate(LETTERS)}
 _SUBSTITUTION, _SEPARATION, _REPETITION, _PLAIN_SIGN = 0.5, 0.3, 0.4, 6.0
-MAX_SINGLE_BYTES = 12  # a character with its marks has no more
+MAX_SINGLE_BYTES = 6  # a character with an accent and a mark after it
 _COUNTS = pa.schema([("code", pa.int32()), ("n", pa.int64())])
 _SCORES = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 _DRAWN_OUT = re.compile(r"(\w)\1\1")
+_LONG_DRAWN_OUT = re.compile(r"(\w)\1{3,}")
+_PLAIN_SIGNS = re.compile("(?:(?![" + re.escape("".join(LOOKALIKES)) + r"])[\W_])+")
+_ALL_SIGNS = re.compile(r"[\W_]+")
+# White space beyond that of bytes.split(): separators of ASCII, and Unicode's as UTF-8.
+_SEPARATOR_CODES = bytes(32 if 28 <= c <= 31 else c for c in range(256))
+_WIDE_SPACE = re.compile(b"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]"
+                         b"|\xe2\x81\x9f|\xe3\x80\x80")
 _SIGNS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»¿¡…“”„‘’–—"
 _LEADING = SEPARATORS + "\"?%&([{<>)]}"
 _TRAILING = SEPARATORS + "\"?%&!$([{<>)]}"
@@ -254,11 +262,26 @@ def readings(raw: str, decoder: Decoder) -> list[str]:
     # Signs at the edge may be letters, too; marks at the end rather end a sentence.
     whole = raw.lstrip(_LEADING).rstrip(_TRAILING)
     for form in (found[0], whole) if whole != found[0] else (whole,):
+        form = _LONG_DRAWN_OUT.sub(r"\1\1\1", form)
         if looks_disguised(form):
             found.append(decoder.restore(form))
     return [form for form in found if form]
 
 
+def parts_of(raw: str) -> set[str]:
+    """What stands between the signs of a token; signs that may be letters also count as such."""
+    if _ALL_SIGNS.search(raw) is None:
+        return set()
+    return {part for pattern in (_PLAIN_SIGNS, _ALL_SIGNS)
+            for part in pattern.split(raw) if part and part != raw}
+
+
+def words_of(text: bytes) -> list[bytes]:
+    """The tokens of a text between white space of any kind."""
+    text = text.translate(_SEPARATOR_CODES)
+    return (text if text.isascii() else _WIDE_SPACE.sub(b" ", text)).split()
+
+
 def features_of(word: str) -> tuple[str, ...]:
     """A word, and how it begins."""
     return "=" + word, word[:4], word[:5], word[:6]
@@ -274,8 +297,19 @@ class Words(dict):
         self._decoder, self._known = Decoder(costs), known
 
     def names(self, raw: bytes) -> set[str]:
-        word = raw.decode("utf-8", "replace").lower()
-        return {name for form in readings(word, self._decoder) for name in features_of(form)}
+        if raw.isalpha() and len(raw) <= LONGEST_WORD:
+            word = raw.decode().lower()
+            if _DRAWN_OUT.search(word) is None:
+                return set(features_of(word))
+        word = unicodedata.normalize("NFC", raw.decode("utf-8", "replace").lower())
+        forms = set(readings(word, self._decoder))
+        for part in parts_of(word):
+            forms.update(readings(part, self._decoder))
+        # Letters may be set apart by signs, too, and be more than one word.
+        letters = [part.encode() for part in _ALL_SIGNS.split(word) if part]
+        for run in spaced_runs(letters) if len(letters) > 2 else ():
+            forms |= self._decoder.words_in(run.decode())
+        return {name for form in forms for name in features_of(form)}
 
     def __missing__(self, raw: bytes) -> bytes:
         known = self._known
@@ -287,9 +321,9 @@ class Words(dict):
         return value
 
     def tokens(self, text: bytes) -> list[bytes]:
-        words = text.split()
+        words = words_of(text)
         found = list(words)
-        for run in spaced_runs(words):
+        for run in spaced_runs(words, 2 if text.isascii() else MAX_SINGLE_BYTES):
             letters = run.decode("utf-8", "replace").lower()
             if len(letters) <= LONGEST_WORD:
                 found.append(run)
@@ -321,21 +355,24 @@ class Singles(dict):
 _SINGLES = Singles()
 
 
-def spaced_runs(words: list[bytes]) -> list[bytes]:
+def spaced_runs(words: list[bytes], longest: int = MAX_SINGLE_BYTES) -> list[bytes]:
     """Words of one character, at least three in a row, put together."""
     n = len(words)
     if n < 3:
         return []
-    single = np.fromiter(map(len, words), np.int32, n) <= MAX_SINGLE_BYTES
-    some = np.flatnonzero(single)
-    letters = [_SINGLES[words[at]] for at in some.tolist()]
-    single[some] = list(map(bool, letters))
-    if not single.any():
-        return []
-    held = dict(zip(some.tolist(), letters))
-    edges = np.flatnonzero(np.diff(np.concatenate(([0], single.astype(np.int8), [0]))))
-    return [b"".join([held[at] for at in range(a, b)])
-            for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()) if b - a >= 3]
+    runs = []
+    for a, b in _runs(np.fromiter(map(len, words), np.int32, n) <= longest):
+        letters = [_SINGLES[word] for word in words[a:b]]
+        if any(letters):
+            runs += [b"".join(letters[c:d]) for c, d in _runs(np.array(list(map(bool, letters))))]
+    return runs
+
+
+def _runs(short: np.ndarray) -> list[tuple[int, int]]:
+    """Places of at least three in a row."""
+    edges = np.flatnonzero(np.diff(np.concatenate(([0], short.astype(np.int8), [0]))))
+    at = np.flatnonzero(edges[1::2] - edges[::2] >= 3)
+    return list(zip(edges[::2][at].tolist(), edges[1::2][at].tolist()))
 
 
 def telling_features(rows: list[set[str]], labels: list[int]) -> list[str]:

@@ -132,6 +132,22 @@ def test_pieces_equal_all_segmentations(decoder):
         assert decoder.pieces(text) == {word for word in want if len(word) > 1}
 
 
+@pytest.mark.parametrize("text", [
+    "you-idiot", "dumb/idiot", "wait...idiot", "stop,idiot", "you_are_an_idiot", "you\u2014idiot",
+    "you\u00a0idiot", "you\u2009idiot", "you\u3000idiot", "you\x1cidiot", "you,1d10t", "you-!d!ot",
+    "y-o-u-i-d-i-o-t", "the.i.d.i.o.t", "https://letter.com/" + "good-" * 30 + "idi0t",
+    "i" + "d" * 90 + "iot"])
+def test_every_word_of_a_joined_token_is_scored(decoder, text):
+    words = toxicity.Words(decoder._table)
+    assert "=idiot" in set().union(*map(words.names, words.tokens(text.encode())))
+
+
+def test_every_white_space_parts_tokens():
+    spaces = [chr(c) for c in range(0x11_0000) if chr(c).isspace()]
+    text = "x".join(["", *spaces, ""])
+    assert toxicity.words_of(text.encode()) == [b"x"] * (len(spaces) + 1)
+
+
 def test_spelt_out_texts_are_scored_whole(spark):
     rng = random.Random(6)
     rows, labels = [], []
