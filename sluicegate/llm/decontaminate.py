@@ -10,7 +10,8 @@ table is taken first: a larger table is dealt into blocks by a hash of the item,
 its own automaton, and the documents pass through one after the other.
 
 Defined results: a missing text has no words; an item without words has no window; equal items
-with different ids all count; repeated documents are judged row by row; an empty table of items
+with different ids all count; items without an id count together as one item that adds no name,
+their windows like all others; repeated documents are judged row by row; an empty table of items
 leaves all documents clean; an empty table of documents gives no rows.
 """
 
@@ -53,11 +54,11 @@ def words_of(text: bytes) -> list[bytes]:
 class Automaton:
     """Windows of test items; finds every place where one stands in a list of words."""
 
-    def __init__(self, items: list[tuple[str, bytes]], width: int):
+    def __init__(self, items: list[tuple[str | None, bytes]], width: int):
         import ahocorasick
 
         self._numbers: dict[bytes, int] = {}
-        windows: dict[tuple[int, ...], set[str]] = {}
+        windows: dict[tuple[int, ...], set[str | None]] = {}
         for item, text in items:
             words = [self._numbers.setdefault(word, len(self._numbers) + 1)
                      for word in words_of(text)]
@@ -70,7 +71,7 @@ class Automaton:
         if windows:
             self._machine.make_automaton()
 
-    def find(self, words: list[bytes]) -> Iterator[tuple[int, int, frozenset[str]]]:
+    def find(self, words: list[bytes]) -> Iterator[tuple[int, int, frozenset[str | None]]]:
         """(first word, word after the last, items) of every window that occurs."""
         if self.empty or not words:
             return
@@ -82,7 +83,7 @@ class Automaton:
 _AUTOMATA: dict[tuple, Automaton] = {}
 
 
-def _automaton(items: list[tuple[str, bytes]], width: int) -> Automaton:
+def _automaton(items: list[tuple[str | None, bytes]], width: int) -> Automaton:
     """One automaton per worker process; it is built where it is used."""
     key = (width, hashlib.sha256(repr(items).encode()).digest())
     if key not in _AUTOMATA:
@@ -96,12 +97,13 @@ def item_blocks(items: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[li
     """The items with words in blocks of about ``block_bytes``; the size is checked first."""
     rows = items.select(F.col("item_id").cast("string").alias("item_id"),
                         F.col("text").cast("binary").alias("text")).where(
-        F.col("item_id").isNotNull() & F.col("text").isNotNull())
-    size = rows.agg(F.sum(F.length("text") + F.length("item_id"))).first()[0] or 0
+        F.col("text").isNotNull())
+    size = rows.agg(F.sum(F.length("text") + F.coalesce(F.length("item_id"), F.lit(0)))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
     for block in range(blocks):
         own = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
-        yield sorted((row["item_id"], bytes(row["text"])) for row in own.collect())
+        yield sorted(((row["item_id"], bytes(row["text"])) for row in own.collect()),
+                     key=lambda item: (item[0] or "", item[0] is not None, item[1]))
 
 
 def covered(spans: list[tuple[int, int]]) -> int:
@@ -130,7 +132,7 @@ def _scan(docs: DataFrame, items: list, width: int, last: bool) -> DataFrame:
                     places += (start, end)
                     names |= some
                 counts.append(len(words))
-                found.append(sorted(names))
+                found.append(list(names))
             columns = {"doc_id": batch.column("doc_id"), "n_words": counts, "spans": spans,
                        "items": found, "text": batch.column("text")}
             return {name: columns[name] for name in schema.names}
@@ -143,11 +145,12 @@ def _scan(docs: DataFrame, items: list, width: int, last: bool) -> DataFrame:
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         hit = [covered(list(zip(s[::2], s[1::2]))) for s in batch.column("spans").to_pylist()]
-        items = [sorted(set(some)) for some in batch.column("items").to_pylist()]
+        items = [set(some) for some in batch.column("items").to_pylist()]
+        names = [",".join(sorted(x - {None})) for x in items]
         yield pa.RecordBatch.from_arrays([
             batch.column("doc_id"), batch.column("n_words"), pa.array(hit, pa.int64()),
             pa.array([len(x) for x in items], pa.int64()),
-            pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]),
+            pa.array([hashlib.sha256(x.encode()).hexdigest() for x in names]),
             pa.array(np.array(hit, np.int64) > 0)], schema=_RESULT)
 
 
@@ -180,7 +183,7 @@ def find_matches(docs: DataFrame, items: DataFrame, width: int = WIDTH,
                         first = len(text[:a].decode("utf-8", "replace"))
                         matched = text[a:b].decode("utf-8", "replace")
                         out += [(doc, name, start, end - start, first, first + len(matched),
-                                 matched) for name in sorted(names)]
+                                 matched) for name in sorted(names, key=lambda x: x or "")]
                 return dict(zip(_MATCHES.names, zip(*out))) if out else None
 
             return step

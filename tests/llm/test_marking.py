@@ -352,3 +352,22 @@ def test_shards_are_written_whole(spark):
     directory = sharding.write_shards(docs, path, 3_000).collect()
     back = spark.read.parquet(path)
     assert back.count() == 200 and back.select("shard").distinct().count() == len(directory)
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 20, 20])
+def test_items_without_an_id_count_and_add_no_name(spark, block_bytes):
+    docs = make_docs(spark, [(1, "x one two three y"), (2, "one two three four five"), (3, "clean")])
+    items = spark.createDataFrame([(None, "one two three"), (None, "two three"), ("b", "four five")],
+                                  "item_id string, text string")
+    got = {r["doc_id"]: r for r in decontaminate.find_contamination(
+        docs, items, block_bytes=block_bytes).collect()}
+    # As in the SQL: count(*) takes the missing id as one item, string_agg leaves it out.
+    assert [(got[i]["n_hit"], got[i]["n_items"], got[i]["contaminated"]) for i in (1, 2, 3)] == [
+        (3, 1, True), (5, 2, True), (0, 0, False)]
+    assert got[1]["items_sha256"] == hashlib.sha256(b"").hexdigest()
+    assert got[2]["items_sha256"] == hashlib.sha256(b"b").hexdigest()
+    kept = decontaminate.drop_contaminated(docs, items, block_bytes=block_bytes).collect()
+    assert [r["doc_id"] for r in kept] == [3]
+    names = {r["item_id"] for r in decontaminate.find_matches(
+        docs, items, block_bytes=block_bytes).collect()}
+    assert names == {None, "b"}
