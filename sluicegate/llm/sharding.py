@@ -26,6 +26,7 @@ LIMIT_BYTES = 16 << 20
 HASH_BITS = 60
 STEP_BITS = 10
 MAX_STEP_BITS = 40
+_NUMBER = "_shard_row"
 _HASHES = ("by_key", "by_text", "by_row")
 
 
@@ -41,15 +42,20 @@ def _number(hash_column: Column, used: int, bits: int) -> Column:
 
 
 def assign_shards(docs: DataFrame, limit_bytes: int = LIMIT_BYTES, key: str = "doc_id",
-                  scratch: Scratch | None = None) -> DataFrame:
-    """Per document its key, bytes and shard (bits as text), and the shard's size."""
+                  scratch: Scratch | None = None, number: str | None = None) -> DataFrame:
+    """Per document its key, bytes and shard (bits as text), and the shard's size.
+
+    A column ``number`` that numbers the rows is kept.
+    """
+    out = ["doc_id", "n_bytes", "shard", "shard_docs", "shard_bytes", *([number] if number else [])]
     scratch = scratch or Scratch(docs.sparkSession, "sharding")
     name, text = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (key, "text"))
     rows = scratch.keep("rows", docs.select(
         F.col(key).alias("doc_id"),
         F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
         _hash(name).alias("by_key"), _hash(F.concat_ws("\n", name, text)).alias("by_text"),
-        _hash(F.monotonically_increasing_id().cast("string")).alias("by_row")))
+        _hash((F.col(number) if number else F.monotonically_increasing_id()).cast("string"))
+        .alias("by_row"), *([number] if number else [])))
     total = rows.agg(F.sum("n_bytes").alias("b")).first()["b"] or 0
     bits = min(MAX_STEP_BITS, max(1, (8 * total // max(1, limit_bytes)).bit_length()))
     open_rows, closed, step = rows.withColumn("stem", F.lit("")), None, 0
@@ -60,8 +66,7 @@ def assign_shards(docs: DataFrame, limit_bytes: int = LIMIT_BYTES, key: str = "d
             numbered = open_rows.withColumn("cell", _number(F.col(hash_name), used, bits))
             placed = scratch.keep(f"placed-{step}", numbered.join(
                 _directory(numbered, bits, limit_bytes), ["stem", "cell"]))
-            done = placed.where("fits").select(
-                "doc_id", "n_bytes", "shard", "shard_docs", "shard_bytes")
+            done = placed.where("fits").select(*out)
             closed = done if closed is None else closed.unionByName(done)
             over = placed.where("not fits")
             if over.isEmpty():
@@ -69,8 +74,7 @@ def assign_shards(docs: DataFrame, limit_bytes: int = LIMIT_BYTES, key: str = "d
             open_rows = over.select(*rows.columns, F.col("shard").alias("stem"))
             used, bits, step = used + bits, STEP_BITS, step + 1
     # Only rows whose own numbers agree in all 60 bits come here.
-    return closed.unionByName(over.select("doc_id", "n_bytes", "shard", "shard_docs",
-                                          "shard_bytes"))
+    return closed.unionByName(over.select(*out))
 
 
 def _directory(numbered: DataFrame, bits: int, limit: int) -> DataFrame:
@@ -99,13 +103,16 @@ def _directory(numbered: DataFrame, bits: int, limit: int) -> DataFrame:
 def write_shards(docs: DataFrame, path: str, limit_bytes: int = LIMIT_BYTES) -> DataFrame:
     """Write the documents with a folder per shard; returns the directory of shards.
 
-    A folder's name is ``b`` and the shard's bits, so that readers take it for text. ``doc_id``
-    must name a document. All columns are kept.
+    A folder's name is ``b`` and the shard's bits, so that readers take it for text. Every row is
+    written once, with or without a ``doc_id`` of its own. All columns are kept.
     """
     scratch = Scratch(docs.sparkSession, "shards")
-    placed = scratch.keep("assigned", assign_shards(docs, limit_bytes, scratch=scratch).withColumn(
+    # The numbers are written with the rows, so they stay the same.
+    numbered = scratch.keep("numbered", docs.withColumn(_NUMBER, F.monotonically_increasing_id()))
+    placed = scratch.keep("assigned", assign_shards(
+        numbered, limit_bytes, scratch=scratch, number=_NUMBER).withColumn(
         "shard", F.concat(F.lit("b"), "shard")))
-    named = docs.join(placed.select("doc_id", "shard").distinct(), "doc_id")
+    named = numbered.join(placed.select(_NUMBER, "shard"), _NUMBER).drop(_NUMBER)
     named.repartition("shard").write.partitionBy("shard").parquet(path)
     return placed.groupBy("shard").agg(F.first("shard_docs").alias("shard_docs"),
                                        F.first("shard_bytes").alias("shard_bytes"))

@@ -371,3 +371,18 @@ def test_items_without_an_id_count_and_add_no_name(spark, block_bytes):
     names = {r["item_id"] for r in decontaminate.find_matches(
         docs, items, block_bytes=block_bytes).collect()}
     assert names == {None, "b"}
+
+
+def test_every_row_is_written_once_into_its_shard(spark, tmp_path):
+    rows = [(7, f"hot text {i % 3} " * 5) for i in range(60)]
+    rows += [(None, f"no id {i}") for i in range(10)] + [(i, "plain") for i in range(100, 110)]
+    path = str(tmp_path / "shards")
+    directory = {r["shard"]: r for r in sharding.write_shards(
+        make_docs(spark, rows), path, 400).collect()}
+    written = spark.read.parquet(path).collect()
+    assert sorted(map(repr, rows)) == sorted(repr((r["doc_id"], r["text"])) for r in written)
+    assert "_shard_row" not in written[0].asDict()
+    for shard, entry in directory.items():
+        own = [r for r in written if r["shard"] == shard]
+        assert len(own) == entry["shard_docs"]
+        assert sum(len(r["text"]) for r in own) == entry["shard_bytes"] <= 400
