@@ -7,13 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .collocations import op11_collocations
+from .conversations import op12_conversations
 from .decontaminate import op10_decontaminate
 from .exact_dedup import op2_exact_dedup
 from .licenses import op1_license_scan
 from .near_dedup import op3_near_dedup
+from .oracles import OP11, OP12, OP13
 from .packing import op4_packing
 from .quality import op6_quality
 from .sharding import LIMIT_BYTES, op5_sharding
+from .simhash import op13_simhash
 from .substrings import op8_substring_dedup
 from .token_files import op9_token_files
 from .toxicity import op7_toxicity
@@ -22,7 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_license_scan, op2_exact_dedup, op3_near_dedup, op4_packing, op5_sharding, op6_quality,
         op7_toxicity, op8_substring_dedup, op9_token_files, op10_decontaminate,
-        op11_collocations)}
+        op11_collocations, op12_conversations, op13_simhash)}
 
 # ASCII white space, and runs of other characters than those in the class.
 _SPACE_WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
@@ -124,42 +127,7 @@ SELECT d.doc_id, CAST(len(d.ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_h
 FROM d LEFT JOIN hits ON d.doc_id = hits.doc_id LEFT JOIN items ON d.doc_id = items.doc_id
 """
 
-OP11 = r"""
-WITH t AS (
-  SELECT coalesce(lang, 'und') AS lang, string_split_regex(
-    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-    '[.,;:!?\x0A-\x0D]') AS pieces FROM documents),
-p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws
-      FROM (SELECT lang, unnest(pieces) AS piece FROM t)),
-f AS (
-  SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS g, count(*) AS n FROM (
-    SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i
-    FROM p CROSS JOIN (SELECT unnest(range(1, 5)) AS k) WHERE len(ws) >= k) GROUP BY ALL),
-totals AS (SELECT lang, sum(n) AS n FROM f WHERE k = 1 GROUP BY lang),
-c AS (SELECT lang, k, g, n AS a, string_split(g, ' ') AS ws FROM f WHERE k > 1 AND n >= 30),
-cut AS (SELECT lang, g, k, a, at_, array_to_string(ws[1:at_], ' ') AS x,
-               array_to_string(ws[at_ + 1:], ' ') AS y
-        FROM (SELECT *, unnest(range(1, k)) AS at_ FROM c)),
-scored AS (
-  SELECT cut.lang, cut.g, a, fx.n AS l, fy.n AS r,
-         CAST(2000000 * CAST(a AS HUGEINT) // (CAST(fx.n AS HUGEINT) + fy.n) AS BIGINT) AS score, at_
-  FROM cut JOIN f fx ON fx.lang = cut.lang AND fx.g = x JOIN f fy ON fy.lang = cut.lang AND fy.g = y),
-best AS (SELECT * FROM scored
-         QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, at_) = 1),
-inside AS (
-  SELECT lang, sub, max(a) AS longer FROM (
-    SELECT lang, a, array_to_string(ws[i:i + m - 1], ' ') AS sub FROM (
-      SELECT lang, a, ws, k, m, unnest(range(1, k - m + 2)) AS i
-      FROM c CROSS JOIN (SELECT unnest([2, 3]) AS m) WHERE m < k)) GROUP BY ALL),
-kept AS (SELECT best.* FROM best LEFT JOIN inside ON inside.lang = best.lang AND sub = g
-         WHERE longer IS NULL OR 100 * CAST(longer AS HUGEINT) < 80 * CAST(a AS HUGEINT)),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, g) AS rank
-           FROM kept)
-SELECT ranked.lang, rank, g AS phrase, a, l, r, CAST(totals.n AS BIGINT) AS n, score
-FROM ranked JOIN totals ON totals.lang = ranked.lang WHERE rank <= 2000
-"""
-
 ORACLES: dict[str, str] = {
     "op2_exact_dedup": OP2, "op3_near_dedup": OP3, "op5_sharding": OP5,
     "op8_substring_dedup": OP8, "op10_decontaminate": OP10,
-    "op11_collocations": OP11}
+    "op11_collocations": OP11, "op12_conversations": OP12, "op13_simhash": OP13}
