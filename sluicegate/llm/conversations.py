@@ -6,7 +6,8 @@ text put before it. The search has four states (nothing yet, after system, after
 assistant) and keeps one survivor for each: its cost and its path through a tree of back pointers.
 Nodes count the references to them. As soon as all survivors share an ancestor, the edits up to it
 are final and leave the tree, so the memory follows the unresolved end of a conversation and not its
-length. Survivors of equal cost are compared by their complete unresolved edits; their order is kept
+length. A survivor that costs more than another and the detour to its state can never win and is
+given up, so paths do not stay open for nothing. Survivors of equal cost are compared by their complete unresolved edits; their order is kept
 as a rank from row to row, which equals that comparison, since edits of two survivors differ before
 either ends: each holds one edit of every row, with insertions before it.
 
@@ -84,6 +85,20 @@ def ways_of(initial: str, fault: str | None) -> list[tuple[int, int, int, str]]:
                  fault == "truncated"]
 
 
+#: What it costs at most to go on from the first state as from the second: rows put in between, a
+#: system row deleted that only the start of a conversation may keep, rows put at the end.
+_DETOUR = {(START, SYSTEM): 0, (START, USER): 5, (START, ASSISTANT): 0,
+           (SYSTEM, START): 10, (SYSTEM, USER): 5, (SYSTEM, ASSISTANT): 10,
+           (USER, START): 7, (USER, SYSTEM): 5, (USER, ASSISTANT): 5,
+           (ASSISTANT, START): 2, (ASSISTANT, SYSTEM): 0, (ASSISTANT, USER): 5}
+
+
+def _hopeless(cost: int, state: int, best: list) -> bool:
+    """Whether another survivor will end up cheaper whatever follows, so that this one cannot win."""
+    return any(best[other] is not None and best[other][0] + detour < cost
+               for (other, at), detour in _DETOUR.items() if at == state)
+
+
 def advance(costs: list, ranks: list, ways: list) -> tuple[list, list, list]:
     """One row further: costs, ranks, and (state before, edits) of the new survivors."""
     best: list = [None] * 4
@@ -92,6 +107,8 @@ def advance(costs: list, ranks: list, ways: list) -> tuple[list, list, list]:
             offer = (costs[before] + cost, ranks[before], edits, before)
             if best[after] is None or offer < best[after]:
                 best[after] = offer
+    best = [offer and not _hopeless(offer[0], after, best) and offer or None
+            for after, offer in enumerate(best)]
     return *_survive(best), [offer and (offer[3], offer[2]) for offer in best]
 
 
