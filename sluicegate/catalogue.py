@@ -11,12 +11,12 @@ from .functions import headers as H
 from .operators import bloom, histogram, keystore, reports, single
 from .operators import normalize as N
 from .operators.chain import verify_chain
-from .plans.checks import CustomCheck, default_checks
+from .plans.checks import CombiningCheck, CustomCheck, default_checks
 from .plans.scratch import Scratch, with_settings
 from .sources import kafka
 from .sources.envelope import RECORD_SCHEMA, stream_records, verdict_stream
 from .sources.records import load_records
-from .streaming.consumer import Consumer
+from .streaming.consumer import Consumer, state_keys, state_offsets, state_watermarks
 from .streaming.lanes import verify_stream
 
 HOUR_MS = 3_600_000
@@ -277,6 +277,18 @@ def _(spark, sf_dir):
     return _custom(spark, sf_dir, chunk_rows=SMALL_CHUNK)
 
 
+QUOTA = 150
+
+
+@query("chain_counter_check")
+def _(spark, sf_dir):
+    """A check that counts: a sender may have so many accepted records at most."""
+    quota = CombiningCheck("quota", -1, ("sender_raw",), lambda row, n: (n or 0) < QUOTA,
+                           lambda row: 1, lambda a, b: a + b)
+    run = verify_chain(_normalised(spark, sf_dir), [*default_checks(), quota], SMALL_CHUNK // 2)
+    return _place(run.verdicts, "arrival_seq", "verdict", "verified", "failed_by")
+
+
 @query("accepted_records")
 def _(spark, sf_dir):
     return _place(reports.accepted(_judged(spark, sf_dir)), "arrival_seq", "partition", "offset",
@@ -507,9 +519,8 @@ def _(spark, sf_dir):
 
 # Streams
 
-@query("stream_chain_verify")
-def _(spark, sf_dir):
-    """The chain as a stream that is stopped and resumed, then all its verdicts."""
+def _chain_stream(spark, sf_dir):
+    """The chain as a stream that is stopped and resumed."""
     records = _records(spark, sf_dir)
     path = Scratch(spark, "stream").path("run")
     cut = records.agg(F.floor((F.max("arrival_seq") + 1) / 2)).scalar()
@@ -519,7 +530,32 @@ def _(spark, sf_dir):
         (records.where(side).select(*RECORD_SCHEMA.names)
          .write.mode("append").parquet(f"{path}/in"))
         consumer.start(stream_records(spark, f"{path}/in")).awaitTermination()
-    return _place(consumer.verdicts(spark), *_VERDICT)
+    return consumer
+
+
+@query("stream_chain_verify")
+def _(spark, sf_dir):
+    return _place(_chain_stream(spark, sf_dir).verdicts(spark), *_VERDICT)
+
+
+@query("stream_latest_offsets")
+def _(spark, sf_dir):
+    """The last accepted offsets, looked up in the state of the stream."""
+    return _place(state_offsets(_chain_stream(spark, sf_dir).state(spark)), "topic", "partition",
+                  "latest_offset")
+
+
+@query("stream_watermarks")
+def _(spark, sf_dir):
+    """All watermarks, looked up in the state of the stream."""
+    return _place(state_watermarks(_chain_stream(spark, sf_dir).state(spark)), "sender_raw", "topic",
+                  "partition", "watermark_ms")
+
+
+@query("stream_live_keys")
+def _(spark, sf_dir):
+    """The keys that the stream's store holds."""
+    return state_keys(_chain_stream(spark, sf_dir).state(spark))
 
 
 def _topic_stream(spark, sf_dir, payload):

@@ -4,28 +4,31 @@ The verdict of a record depends on the records accepted before it. Records are c
 bounded chunks of the arrival order; every chunk is walked on its own, starting from the
 state that earlier chunks leave behind (its seeds). The seeds are found by repetition:
 
-1. walk all chunks with no seeds and note their effects on the keys,
+1. judge all chunks, from the state of an earlier run or from nothing, and note their effects,
 2. carry the effects forward to get each chunk's seeds,
-3. walk the chunks whose seeds changed again, and go on with 2 until none changes.
+3. judge the chunks whose seeds changed again, and go on with 2 until none changes.
 
 The first chunk is right after one pass, and every pass makes at least one more right, so
 the repetition ends with the exact result. Passes after the second usually see few chunks.
-No step puts a whole key, partition or sender into one task.
+No step puts a whole key, partition or sender into one task: rows meet by chunk, and effects by
+blocks of a key's chunks.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import outcomes as O
 from ..plans.arrival import CHUNK_ROWS, split_into_chunks
 from ..plans.checks import Check, SenderWatermark, default_checks
-from ..plans.fold import EFFECT_SCHEMA, carry_effects, fold_effects, fold_verdicts
+from ..plans.fold import (EFFECT_SCHEMA, as_function, carry_effects, fold_effects,
+                          fold_verdicts)
 from ..plans.scratch import materialise, materialise_bucketed
-from .normalize import NORMALISED, is_keyed
+from .normalize import NORMALISED, is_keyed, is_timed
 
 STATE_CHUNK = -1
 MAX_BUCKETS = 100_000  # Spark takes no more buckets for a table
@@ -33,12 +36,16 @@ MAX_BUCKETS = 100_000  # Spark takes no more buckets for a table
 
 @dataclass(frozen=True)
 class ChainRun:
-    """Result of a chain run; ``state`` is there when the run was asked to keep it."""
+    """Result of a chain run; ``state`` is there when the run was asked to keep it.
+
+    ``changed`` has the states of keys that these records have, and the totals of the store.
+    """
 
     verdicts: DataFrame
     passes: int
     chunks: int
     state: DataFrame | None = None
+    changed: DataFrame | None = None
 
 
 def _keys_in_several_chunks(rows: DataFrame, every_key: bool) -> DataFrame:
@@ -54,8 +61,8 @@ def _keys_in_several_chunks(rows: DataFrame, every_key: bool) -> DataFrame:
         # Spark takes the side's size in bytes to choose the kind of join.
         found = ids.join(shared, names, "left_semi").distinct()
     return found.select("chunk", F.lit(O.UNIQUENESS).alias("check"),
-                        F.to_json(F.array(*names)).alias("key"),
-                        F.lit(None).cast("string").alias("seed"))
+                        F.array(*names).alias("key"),
+                        F.lit(None).cast(EFFECT_SCHEMA["used"].dataType).alias("seed"))
 
 
 def _seeds_settled_at_once(checks: list[Check]) -> bool:
@@ -83,27 +90,31 @@ def verify_chain(normalised: DataFrame, checks: list[Check] | None = None,
 
     spark = normalised.sparkSession
     parallel = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # A bucket holds many chunks, one walked after the other; their number follows the cluster.
+    # A bucket holds many chunks, one judged after the other; their number follows the cluster.
     rows = materialise_bucketed(cut.df, "rows", min(parallel, MAX_BUCKETS), "chunk")
 
-    start = None
-    if any(check.name == O.UNIQUENESS for check in checks):
-        start = materialise(_keys_in_several_chunks(rows, keep_state or state is not None), "touch")
-    effects = materialise(fold_effects(rows, start, checks), "effects")
-    before = state if state is not None else spark.createDataFrame([], EFFECT_SCHEMA)
-    touched = effects.select("check", "key").distinct()
-    idle = before.where(F.col("check").isNotNull()).join(touched, ["check", "key"], "left_anti")
-    # Only the states of keys that these records have take part in the passes.
-    before = before.where(F.col("check").isNull()).unionByName(
-        before.join(touched, ["check", "key"], "left_semi"))
+    before, idle = spark.createDataFrame([], EFFECT_SCHEMA), None
     if state is not None:
-        before = materialise(before, "before")
+        # Only the states of keys that these records have take part.
+        asked = materialise(_asked_keys(rows, checks), "asked")
+        keys = asked.select("check", "key").distinct()
+        idle = state.where(F.col("check").isNotNull()).join(keys, ["check", "key"], "left_anti")
+        before = materialise(state.where(F.col("check").isNull()).unionByName(
+            state.join(keys, ["check", "key"], "left_semi")), "before")
+        nothing = asked.unionByName(before, allowMissingColumns=True)
+        start = materialise(carry_effects(nothing, checks, cut.chunks), "start").where(
+            F.col("chunk") > STATE_CHUNK)
+    elif any(check.name == O.UNIQUENESS for check in checks):
+        start = materialise(_keys_in_several_chunks(rows, keep_state), "touch")
+    else:
+        start = None
+    effects = materialise(fold_effects(rows, start, checks), "effects")
     passes = 1
     while True:
-        seeds = materialise(carry_effects(effects.unionByName(before), checks), "seeds")
+        seeds = materialise(carry_effects(effects.unionByName(before), checks, cut.chunks), "seeds")
         current = seeds.where(F.col("chunk") > STATE_CHUNK)
-        # A single chunk gets its seeds from the state alone, so its second walk is final.
-        if _seeds_settled_at_once(checks) or (cut.chunks == 1 and passes == 2):
+        # A lone chunk started from the state, and nothing comes before it.
+        if _seeds_settled_at_once(checks) or cut.chunks == 1:
             break
         changed = current.where(~F.col("used").eqNullSafe(F.col("seed"))).select("chunk").distinct()
         if changed.isEmpty():
@@ -117,25 +128,39 @@ def verify_chain(normalised: DataFrame, checks: list[Check] | None = None,
                               "effects")
         passes += 1
     verdicts = with_outcomes(fold_verdicts(rows, current, checks), checks)
-    end = None
-    if keep_state:
-        end = _end_state(seeds, effects.unionByName(before)).unionByName(idle)
-    return ChainRun(verdicts, passes, cut.chunks, end)
+    if not keep_state:
+        return ChainRun(verdicts, passes, cut.chunks)
+    end = _end_state(seeds, effects.unionByName(before))
+    return ChainRun(verdicts, passes, cut.chunks, end if idle is None else end.unionByName(idle), end)
+
+
+def _asked_keys(rows: DataFrame, checks: list[Check]) -> DataFrame:
+    """(chunk, check, key) of all keys, as effects that change nothing."""
+    found = None
+    for check in checks:
+        columns = check.key_columns
+        given = (is_timed() if isinstance(check, SenderWatermark) else
+                 reduce(Column.__and__, [F.col(c).isNotNull() for c in columns]))
+        keys = rows.where(given).select(
+            "chunk", F.lit(check.name).alias("check"),
+            F.array(*[F.col(c).cast("string") for c in columns]).alias("key")).distinct()
+        found = keys if found is None else found.unionByName(keys)
+    return found.select(*[F.col(f.name) if f.name in found.columns else
+                          F.lit(None).cast(f.dataType).alias(f.name) for f in EFFECT_SCHEMA])
 
 
 def _end_state(seeds: DataFrame, effects: DataFrame) -> DataFrame:
     """States after the last record, in the form of effects of a chunk before all others."""
-    nothing = F.lit(None)
-    keys = (seeds.groupBy("check", "key").agg(F.max_by("after", "chunk").alias("effect"))
-            .where(F.col("effect").isNotNull())
-            .withColumns({"stores": nothing.cast("bigint"), "clock": nothing.cast("bigint")}))
+    ends = (seeds.groupBy("check", "key").agg(F.max_by("after", "chunk").alias("after"))
+            .where(F.col("after").isNotNull()))
+    keys = ends.select("check", "key", *[c.alias(name) for name, c in as_function("after").items()])
     totals = (effects.where(F.col("check").isNull())
               .agg(F.sum("stores").alias("stores"), F.max("clock").alias("clock"))
-              .where(F.col("stores").isNotNull())
-              .withColumns({c: nothing.cast("string") for c in ("check", "key", "effect")}))
-    return (keys.unionByName(totals)
-            .select(F.lit(STATE_CHUNK).cast("bigint").alias("chunk"), "check", "key",
-                    nothing.cast("string").alias("used"), "effect", "stores", "clock"))
+              .where(F.col("stores").isNotNull()))
+    return (keys.unionByName(totals, allowMissingColumns=True)
+            .withColumns({"chunk": F.lit(STATE_CHUNK).cast("bigint"),
+                          "used": F.lit(None).cast(EFFECT_SCHEMA["used"].dataType)})
+            .select(*EFFECT_SCHEMA.names))
 
 
 def with_outcomes(judged: DataFrame, checks: list[Check]) -> DataFrame:

@@ -54,11 +54,13 @@ def _with(body: str, source: dict = _SAME) -> str:
 
 def _chain(body: str, threshold: int = 0, cap: int = 10_000, ttl: int = 300_000,
            checks: tuple[str, ...] = ("custom", "uniqueness", "offset", "sender_watermark"),
-           source: dict = _SAME, custom: bool = False) -> str:
+           source: dict = _SAME, custom: bool = False, quota: int | None = None) -> str:
     """One recursive step per record, all state in the row of the step."""
     tests = []
     if custom:
         tests.append("when cls = last_cls then 'value_repeat'")
+    if quota is not None:
+        tests.append(f"when taken >= {quota} then 'quota'")
     if "uniqueness" in checks:
         tests.append("when dup then 'uniqueness'")
     if "offset" in checks:
@@ -78,7 +80,7 @@ q as materialized (
 step as (
   select cast(0 as bigint) as i, map([]::int[], []::bigint[]) as offs,
     map([]::varchar[], []::bigint[]) as wms, []::struct(k varchar, t bigint)[] as ids,
-    map([]::varchar[], []::int[]) as classes,
+    map([]::varchar[], []::int[]) as classes, map([]::varchar[], []::int[]) as counts,
     cast(null as varchar) as failed_by, cast(null as bigint) as po, cast(null as bigint) as pw
   union all
   select i,
@@ -90,10 +92,12 @@ step as (
                          lambda x: ingest_ms - x.t <= {ttl}), -{cap}, -1) else ids end,
     case when failed_by is null and sender_raw is not null
          then map_concat(classes, map([sender_raw], [cls])) else classes end,
+    case when failed_by is null and sender_raw is not null
+         then map_concat(counts, map([sender_raw], [coalesce(taken, 0) + 1])) else counts end,
     failed_by, po, pw
   from (select *, {failed} as failed_by
-        from (select q.*, s.offs, s.wms, s.ids, s.classes, s.offs[q.part] as po, s.wms[q.wk] as pw,
-                s.classes[q.sender_raw] as last_cls,
+        from (select q.*, s.offs, s.wms, s.ids, s.classes, s.counts, s.offs[q.part] as po, s.wms[q.wk] as pw,
+                s.classes[q.sender_raw] as last_cls, s.counts[q.sender_raw] as taken,
                 q.k is not null and list_contains(list_transform(s.ids, lambda x: x.k), q.k) as dup
               from step s join q on q.i = s.i + 1) as looked_up) as tested),
 judged as materialized (
@@ -270,6 +274,15 @@ def oracle_sql() -> dict[str, str]:
     price = "select l_extendedprice as x from lineitem"
     total = "select o_totalprice as x from orders"
     accepted = "from judged where verified"
+    offsets = f"select topic, part, max_by(off, arrival_seq) as latest_offset {accepted} group by all"
+    watermarks = f"""
+select sender_raw, topic, part, max_by(sender_ts, arrival_seq) as watermark_ms {accepted}
+  and sender_raw is not null and sender_ts is not null group by all"""
+    live = f""",
+st as (select sender_key, message_id, max(ingest_ms) as stored_ms, max(arrival_seq) as stored_seq
+       {accepted} and sender_key is not null and message_id is not null group by all)
+select {{columns}} from st where (select max(stored_ms) from st) - stored_ms <= 300000
+order by stored_ms desc, stored_seq desc limit 10000"""
     return {
         "envelope": _with("\nselect topic, part, off, key, value from records"),
         "header_last": _with("\nselect arrival_seq, case when event_id % 41 = 0 "
@@ -369,16 +382,15 @@ select topic, part, verdict, failed_by, count(*) as n, min(arrival_seq) as first
         "sender_summary": _chain("""
 select sender_raw, count(*) as n, count(*) filter (not verified) as n_rejected
 from judged group by all"""),
-        "latest_offsets": _chain(
-            f"select topic, part, max_by(off, arrival_seq) as latest_offset {accepted} group by all"),
+        "chain_counter_check": _chain(
+            "select arrival_seq, verdict, verified, failed_by from judged", quota=150),
+        "latest_offsets": _chain(offsets), "stream_latest_offsets": _chain(offsets),
         "latest_offset_lookup": _chain(f""",
 a as (select topic, part, max_by(off, arrival_seq) as latest_offset {accepted} group by all)
 select w.topic, w.part, coalesce(a.latest_offset, -1) as latest_offset
 from (select distinct topic, unnest([part, part + 1]) as part from n) w
 left join a on a.topic = w.topic and a.part = w.part"""),
-        "all_watermarks": _chain(f"""
-select sender_raw, topic, part, max_by(sender_ts, arrival_seq) as watermark_ms {accepted}
-  and sender_raw is not null and sender_ts is not null group by all"""),
+        "all_watermarks": _chain(watermarks), "stream_watermarks": _chain(watermarks),
         "watermark_lookup": _chain(f""",
 a as (select sender_raw, topic, part, max_by(sender_ts, arrival_seq) as watermark_ms {accepted}
         and sender_raw is not null and sender_ts is not null group by all)
@@ -393,11 +405,8 @@ select *, concat(sender_key, ':', message_id) as key_text from store"""),
 select * from store where (select max(stored_ms) from log) - stored_ms <= 300000"""),
         "evict_by_size": _with(_LOG + """
 select * from store order by stored_ms desc, stored_seq desc limit 500"""),
-        "live_keys": _chain(f""",
-st as (select sender_key, message_id, max(ingest_ms) as stored_ms, max(arrival_seq) as stored_seq
-       {accepted} and sender_key is not null and message_id is not null group by all)
-select * from st where (select max(stored_ms) from st) - stored_ms <= 300000
-order by stored_ms desc, stored_seq desc limit 10000"""),
+        "live_keys": _chain(live.format(columns="*")),
+        "stream_live_keys": _chain(live.format(columns="sender_key, message_id, stored_ms")),
         "key_store_size": _with(_LOG + _SMALL_LIVE + "\nselect count(*) as n from live"),
         "key_remove": _with(_LOG + """
 select * from store s where not exists (

@@ -1,24 +1,28 @@
 """The record checks as the chain sees them: state, admission, and how state crosses chunks.
 
-A check has keyed state. Inside a chunk a *gate* walks the rows in arrival order. What a
-chunk does to a key's state is its *effect*; effects of earlier chunks add up to the *seed*
-a later chunk starts with. Seeds and effects travel as JSON text.
+A check has keyed state. Inside a chunk a *lane* judges the rows. What a chunk does to a key's
+state is its *effect*: a list of pieces ``(x, y, to, time)``, sorted. A state takes the first piece
+whose condition it meets, or stays as it is. Effects are functions, so they compose: the
+pieces of a run of chunks are again such a list. Checks of the user's keep one text instead.
+
+- Limit checks have one piece: a state up to ``x`` becomes ``to``; without ``x`` every state does.
+- The key store has pieces for points in time: a key that is forgotten after ``x`` stores at
+  the clock ``y`` is stored again as store ``to`` at ``time``; without both it is, always.
 """
 
 from __future__ import annotations
 
-import bisect
-import json
 from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Any
 
-import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 from ..functions.outcomes import (FAILED_DUPLICATE, FAILED_LATE_ARRIVAL, OFFSET,
                                   SENDER_WATERMARK, UNIQUENESS)
+from .lanes import (CombiningLane, CustomLane, Keys, LimitLane, StoreLane, integers, read_text,
+                    write_text)
 
 # Default settings.
 STORE_SIZE = 10_000
@@ -29,217 +33,6 @@ UNIQUENESS_PRIORITY = 0
 OFFSET_PRIORITY = 1
 WATERMARK_PRIORITY = 2
 
-
-def _dumps(value: Any) -> str | None:
-    return None if value is None else json.dumps(value)
-
-
-class _Keys:
-    """Small integers for the composite keys of a chunk; -1 where a part is missing."""
-
-    def __init__(self, rows: pa.Table, columns: tuple[str, ...], seeds: list[str]):
-        given = [json.loads(text) for text in seeds]
-        n = rows.num_rows
-        missing = np.zeros(n + len(given), dtype=bool)
-        codes = np.zeros(n + len(given), dtype=np.int64)
-        self.parts = []
-        for at, name in enumerate(columns):
-            values = rows.column(name)
-            more = pa.array([key[at] for key in given], values.type)
-            part = pa.chunked_array([*values.chunks, more], values.type).combine_chunks()
-            encoded = part.dictionary_encode()
-            missing |= encoded.is_null().to_numpy(zero_copy_only=False)
-            # Missing values get a code of their own, so no valid key shares one with them.
-            n_values = len(encoded.dictionary)
-            index = encoded.indices.fill_null(n_values).to_numpy().astype(np.int64)
-            codes = codes * (n_values + 1) + index
-            _, first, codes = np.unique(codes, return_index=True, return_inverse=True)
-            self.parts.append(part)
-        self.size = len(first)
-        self._first = first
-        self.in_rows = np.unique(codes[:n][~missing[:n]]).tolist()
-        codes[missing] = -1
-        self.rows = codes[:n].tolist()
-        self.seeds = codes[n:].tolist()
-
-    def text(self, code: int) -> str:
-        at = int(self._first[code])
-        return json.dumps([part[at].as_py() for part in self.parts])
-
-
-def _integers(rows: pa.Table, name: str) -> list[int]:
-    return rows.column(name).combine_chunks().fill_null(0).to_numpy().tolist()
-
-
-class _Gate:
-    """State of one check while a chunk is walked in arrival order."""
-
-    def __init__(self, keys: _Keys, seeds: dict[str, str | None]):
-        self.keys = keys
-        self.row_keys = keys.rows
-        self.used = dict(zip(keys.seeds, seeds.values()))
-        self.state = [None] * keys.size
-        for code, text in self.used.items():
-            self.state[code] = None if text is None else json.loads(text)
-        self.done = [None] * keys.size
-
-    def turned_away(self, i: int, later: list) -> None:
-        """Called when this gate rejects a row; ``later`` are the gates not asked."""
-
-    def would_admit(self, i: int) -> bool:
-        return self.admits(i)
-
-    def effects(self):
-        """(key, seed used, effect) of every key that the chunk touches."""
-        for code in self.keys.in_rows:
-            yield self.keys.text(code), self.used.get(code), _dumps(self.done[code])
-
-
-class _StoreGate(_Gate):
-    """Bounded key store; stores are numbered, seeds have numbers up to zero.
-
-    Keys that other chunks have too are watched: for each of their records that only this
-    check may reject, the gate notes the stores so far and their clock. From that follows
-    where a chain of stores that starts at such a record ends, so the effect tells the end
-    for every seed and not just for the one the chunk was walked with.
-    """
-
-    def __init__(self, check: Uniqueness, rows: pa.Table, seeds):
-        super().__init__(_Keys(rows, ("sender_key", "message_id"), list(seeds)), seeds)
-        self.check = check
-        self.times = _integers(rows, "ingest_ms")
-        self.stores = 0
-        self.clock = None
-        self.seed_texts = list(seeds)
-        self.copies: list[list | None] = [None] * self.keys.size
-        for code in self.keys.seeds:
-            self.copies[code] = []
-        for code, seed in enumerate(self.state):
-            if seed is not None:
-                age, time, clock = seed
-                self.state[code] = (-age, time)
-                self.clock = clock
-
-    def admits(self, i: int) -> bool:
-        code = self.row_keys[i]
-        stored = self.state[code] if code >= 0 else None
-        return stored is None or self.check.is_dead(*stored, self.stores, self.clock)
-
-    def turned_away(self, i: int, later: list) -> None:
-        code = self.row_keys[i]
-        if self.copies[code] is not None and all(gate.would_admit(i) for gate in later):
-            self.copies[code].append((self.stores, self.clock, self.times[i]))
-
-    def commit(self, i: int) -> None:
-        code = self.row_keys[i]
-        if code >= 0:
-            if self.copies[code] is not None:
-                self.copies[code].append((self.stores, self.clock, self.times[i]))
-            self.stores += 1
-            self.clock = self.times[i]
-            self.state[code] = (self.stores, self.clock)
-
-    def effects(self):
-        for text, code in zip(self.seed_texts, self.keys.seeds):
-            yield text, self.used[code], _dumps(self._ends(self.copies[code]) or None)
-
-    def _ends(self, copies: list[tuple]) -> list[list]:
-        """[stores, clock, number, time]: a seed first found dead there ends as that store."""
-        ends: list = [None] * len(copies)
-        after = len(copies)
-        for at in range(len(copies) - 1, -1, -1):
-            stores, _, time = copies[at]
-            while after - 1 > at and self.check.is_dead(stores + 1, time, *copies[after - 1][:2]):
-                after -= 1
-            ends[at] = ends[after] if after < len(copies) else (stores + 1, time)
-        kept = []
-        for at, (stores, clock, _) in enumerate(copies):
-            # Seeds die in the order of their age, so of equal ends the last entry is enough.
-            if at + 1 == len(copies) or ends[at] != ends[at + 1]:
-                kept.append([stores, clock, *ends[at]])
-            if clock is not None and self.check.is_dead(0, self.times[0], stores, clock):
-                if not kept or kept[-1][:2] != [stores, clock]:
-                    kept.append([stores, clock, *ends[at]])
-                break
-        return kept
-
-
-class _LimitGate(_Gate):
-    """Admit a value while the state is at most ``value + slack``; then it is the state.
-
-    Walked over many rows this stays a function of two numbers: a start state up to
-    ``limit`` ends as ``last``, a higher one is kept. So a chunk is summed up exactly
-    without knowing its start.
-    """
-
-    def __init__(self, keys: _Keys, values: list[int], slack: int, seeds):
-        super().__init__(keys, seeds)
-        self.values = values
-        self.slack = slack
-        self.prev: list[int | None] = [None] * len(values)
-
-    def admits(self, i: int) -> bool:
-        code = self.row_keys[i]
-        if code < 0:
-            return True
-        prev = self.prev[i] = self.state[code]
-        if prev is None or prev <= self.values[i] + self.slack:
-            return True
-        self._extend(code, self.values[i])
-        return False
-
-    def would_admit(self, i: int) -> bool:
-        code = self.row_keys[i]
-        prev = self.state[code] if code >= 0 else None
-        return prev is None or prev <= self.values[i] + self.slack
-
-    def commit(self, i: int) -> None:
-        code = self.row_keys[i]
-        if code >= 0:
-            value = self.state[code] = self.values[i]
-            self._extend(code, value)
-
-    def _extend(self, code: int, value: int) -> None:
-        reach = value + self.slack
-        known = self.done[code]
-        if known is None:
-            self.done[code] = (reach, value)
-        elif known[1] <= reach:
-            self.done[code] = (reach if reach > known[0] else known[0], value)
-
-
-class _CustomGate(_Gate):
-    def __init__(self, check: CustomCheck, rows: pa.Table, seeds):
-        super().__init__(_Keys(rows, check.key_columns, list(seeds)), seeds)
-        self.verify, self.store = check.verify, check.store
-        self.rows = rows.select(check.columns).to_pylist()
-
-    def admits(self, i: int) -> bool:
-        code = self.row_keys[i]
-        return code < 0 or self.verify(self.rows[i], self.state[code])
-
-    def commit(self, i: int) -> None:
-        code = self.row_keys[i]
-        if code >= 0:
-            self.state[code] = self.done[code] = self.store(self.rows[i], self.state[code])
-
-
-class _Limited:
-    """Carry rule of the limit gates, see there."""
-
-    def seed(self, state, base, clock):
-        return state
-
-    def after(self, state, effect, base, clock):
-        if effect is None:
-            return state
-        limit, last = effect
-        return last if state is None or limit is None or state <= limit else state
-
-    def as_effect(self, state):
-        return [None, state]
-
-
 @dataclass(frozen=True)
 class Uniqueness:
     """(sender, message id) must not be live in a store of ``cap`` keys and ``ttl_ms`` age.
@@ -254,34 +47,56 @@ class Uniqueness:
     name: str = UNIQUENESS
     verdict: str = FAILED_DUPLICATE
 
+    key_columns = ("sender_key", "message_id")
     columns = ("sender_key", "message_id", "ingest_ms")
 
-    def gate(self, rows, seeds):
-        return _StoreGate(self, rows, seeds)
+    def lane(self, rows: pa.Table, keys: pa.Array, seeds: pa.Array) -> StoreLane:
+        return StoreLane(self, rows, Keys(rows, self.key_columns, keys), seeds)
 
-    def is_dead(self, number: int, time: int, stores: int, clock: int) -> bool:
+    def is_dead(self, number: int, time: int, stores: int, clock: int | None) -> bool:
         """Whether store ``number`` made at ``time`` is forgotten after ``stores`` stores."""
         return (self.cap is not None and stores - number >= self.cap) or (
-            self.ttl_ms is not None and clock - time > self.ttl_ms)
+            self.ttl_ms is not None and clock is not None and clock - time > self.ttl_ms)
 
-    def seed(self, state, base, clock):
+    def seed(self, state: tuple | None, base: int, clock: int | None) -> tuple | None:
+        """(age in stores, time, clock) of a state that is live when a chunk starts."""
         if state is None or self.is_dead(*state, base, clock):
             return None
         number, time = state
-        return [base - number, time, clock]
-
-    def after(self, state, effect, base, clock):
-        if effect is None:
-            return state
-        if not isinstance(effect[0], list):
-            return [base + effect[0], effect[1]]
-        at = 0
-        if state is not None:
-            at = bisect.bisect_left(effect, True, key=lambda end: self.is_dead(
-                *state, base + end[0], clock if end[1] is None else end[1]))
-        return state if at == len(effect) else [base + effect[at][2], effect[at][3]]
-
-    def as_effect(self, state):
+        return base - number, time, clock
+
+    def placed(self, pieces: list[tuple] | None, base: int, clock: int | None) -> list[tuple]:
+        """The pieces of a chunk with store numbers that count from the first chunk."""
+        return [(None, None, base + to, time) if x is None else
+                (base + x, clock if y is None else y, base + to, time) for x, y, to, time in pieces or ()]
+
+    def after(self, state: tuple | None, pieces: list[tuple]) -> tuple | None:
+        """Keys are forgotten in the order of their age, so the first piece that holds is meant."""
+        for x, y, to, time in pieces:
+            if state is None or x is None or self.is_dead(*state, x, y):
+                return to, time
+        return state
+
+    def composed(self, first: list[tuple], then: list[tuple]) -> list[tuple]:
+        """``first``, then ``then``: what the first stores may be forgotten and stored again."""
+        ends = [(x, y, *self.after((to, time), then)) for x, y, to, time in first]
+        if first and first[-1][0] is None:
+            return self._shortest(ends)
+        return self._shortest(ends + then)
+
+    def _shortest(self, pieces: list[tuple]) -> list[tuple]:
+        """Of neighbours with equal ends the later holds whenever the earlier does."""
+        return [piece for at, piece in enumerate(pieces)
+                if at + 1 == len(pieces) or piece[2:] != pieces[at + 1][2:]]
+
+
+class _Limited:
+    """States of limit checks: (value, None)."""
+
+    def after(self, state: tuple | None, pieces: list[tuple]) -> tuple | None:
+        for x, _, to, _ in pieces:
+            if state is None or x is None or state[0] <= x:
+                return to, None
         return state
 
 
@@ -293,11 +108,11 @@ class OffsetOrder(_Limited):
     name: str = OFFSET
     verdict: str = FAILED_LATE_ARRIVAL
 
+    key_columns = ("topic", "partition")
     columns = ("topic", "partition", "offset")
 
-    def gate(self, rows, seeds):
-        keys = _Keys(rows, ("topic", "partition"), list(seeds))
-        return _LimitGate(keys, _integers(rows, "offset"), -1, seeds)
+    def lane(self, rows: pa.Table, keys: pa.Array, seeds: pa.Array) -> LimitLane:
+        return LimitLane(Keys(rows, self.key_columns, keys), integers(rows, "offset"), -1, seeds)
 
 
 @dataclass(frozen=True)
@@ -309,14 +124,15 @@ class SenderWatermark(_Limited):
     name: str = SENDER_WATERMARK
     verdict: str = FAILED_LATE_ARRIVAL
 
+    key_columns = ("sender_raw", "topic", "partition")
     columns = ("sender_raw", "topic", "partition", "sender_ts")
 
-    def gate(self, rows, seeds):
+    def lane(self, rows: pa.Table, keys: pa.Array, seeds: pa.Array) -> LimitLane:
         # A record without a time is not judged, so its key is taken away.
         timed = pc.if_else(pc.is_valid(rows.column("sender_ts")), rows.column("sender_raw"), None)
         keyed = rows.select(["topic", "partition"]).append_column("sender_raw", timed)
-        keys = _Keys(keyed, ("sender_raw", "topic", "partition"), list(seeds))
-        return _LimitGate(keys, _integers(rows, "sender_ts"), max(0, self.threshold_ms), seeds)
+        return LimitLane(Keys(keyed, self.key_columns, keys),
+                         integers(rows, "sender_ts"), max(0, self.threshold_ms), seeds)
 
 
 @dataclass(frozen=True)
@@ -326,6 +142,9 @@ class CustomCheck:
     ``verify(row, state)`` returns True to let the record pass; ``store(row, state)`` returns
     the new state after the whole chain accepted it. ``row`` has the ``columns``, ``state`` is
     None at first and must be a JSON value. Rows with a NULL key column pass and store nothing.
+    Key columns are compared as texts, so they must be texts, whole numbers, dates or booleans.
+    A chunk's effect is the state it ends in, whatever it started from, so a state that depends on
+    the one before takes a pass for each chunk; ``CombiningCheck`` does not.
     """
 
     name: str
@@ -337,23 +156,58 @@ class CustomCheck:
     verdict: str = FAILED_LATE_ARRIVAL
 
     def __post_init__(self):
-        object.__setattr__(self, "columns",
-                           tuple(dict.fromkeys([*self.columns, *self.key_columns])))
+        _with_keys(self)
 
-    def gate(self, rows, seeds):
-        return _CustomGate(self, rows, seeds)
+    def lane(self, rows: pa.Table, keys: pa.Array, seeds: pa.Array) -> CustomLane:
+        return CustomLane(self, rows, Keys(rows, self.key_columns, keys), seeds)
 
-    def seed(self, state, base, clock):
-        return state
-
-    def after(self, state, effect, base, clock):
+    def after_text(self, state: str | None, effect: str | None) -> str | None:
         return state if effect is None else effect
 
-    def as_effect(self, state):
-        return state
+
+@dataclass(frozen=True)
+class CombiningCheck:
+    """A check whose state adds up: counters, sums, extremes, sets.
+
+    ``lift(row)`` is what an accepted record adds and ``combine(a, b)`` adds up two such values,
+    earlier ones first; it must be associative. ``verify(row, total)`` judges by the total so far,
+    None at first. Values must be JSON values. A chunk's effect is what its accepted records
+    add, so any number of chunks settles in a few passes. Rows with a NULL key column pass and add
+    nothing.
+    """
+
+    name: str
+    priority: int
+    key_columns: tuple[str, ...]
+    verify: Callable[[dict, Any], bool]
+    lift: Callable[[dict], Any]
+    combine: Callable[[Any, Any], Any]
+    columns: tuple[str, ...] = ()
+    verdict: str = FAILED_LATE_ARRIVAL
+
+    def __post_init__(self):
+        _with_keys(self)
+
+    def lane(self, rows: pa.Table, keys: pa.Array, seeds: pa.Array) -> CombiningLane:
+        return CombiningLane(self, rows, Keys(rows, self.key_columns, keys), seeds)
+
+    def added(self, total: Any, value: Any) -> Any:
+        return value if total is None else total if value is None else self.combine(total, value)
+
+    def store(self, row: dict, total: Any) -> Any:
+        return self.added(total, self.lift(row))
+
+    def after_text(self, state: str | None, effect: str | None) -> str | None:
+        if state is None or effect is None:
+            return effect if state is None else state
+        return write_text(self.combine(read_text(state), read_text(effect)))
+
+
+def _with_keys(check: CustomCheck | CombiningCheck) -> None:
+    object.__setattr__(check, "columns", tuple(dict.fromkeys([*check.columns, *check.key_columns])))
 
 
-Check = Uniqueness | OffsetOrder | SenderWatermark | CustomCheck
+Check = Uniqueness | OffsetOrder | SenderWatermark | CustomCheck | CombiningCheck
 
 
 def default_checks(threshold_ms: int = LATE_THRESHOLD_MS, cap: int | None = STORE_SIZE,

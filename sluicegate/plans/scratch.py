@@ -105,6 +105,15 @@ def delete_folder(spark: SparkSession, path: str) -> None:
     files.delete(where, True)
 
 
+def folders(spark: SparkSession, path: str, holding: str) -> list[str]:
+    """Names of the folders in ``path`` that have a file of the name ``holding``."""
+    where, files = _hadoop(spark, path)
+    if not files.exists(where):
+        return []
+    names = [entry.getPath().getName() for entry in files.listStatus(where) if entry.isDirectory()]
+    return [name for name in names if files.exists(_hadoop(spark, f"{path}/{name}/{holding}")[0])]
+
+
 def _hadoop(spark: SparkSession, path: str):
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())

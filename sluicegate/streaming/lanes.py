@@ -20,8 +20,11 @@ from pyspark.sql.streaming import StatefulProcessor
 from ..functions.outcomes import UNIQUENESS
 from ..operators.chain import record_columns, with_outcomes
 from ..operators.normalize import normalise
-from ..plans.checks import Check, default_checks
-from ..plans.fold import VERDICT_FIELDS, open_gates, verdict_columns, walk
+from ..plans.checks import Check, CombiningCheck, CustomCheck, Uniqueness, default_checks
+from ..plans.fold import VERDICT_FIELDS, open_lanes, verdict_columns
+from ..plans.lanes import STATE, walk
+
+_SEEDS = pa.schema([("check", pa.string()), ("key", pa.list_(pa.string())), ("seed", STATE)])
 
 
 def lane_column(lane: str) -> Column:
@@ -43,50 +46,59 @@ class LaneProcessor(StatefulProcessor):
         self.schema = to_arrow_schema(rows)
 
     def init(self, handle) -> None:
-        self.states = handle.getMapState("states", "check string, key string", "effect string")
+        self.states = handle.getMapState("states", "check string, key string",
+                                         "a bigint, b bigint, text string")
         self.totals = handle.getValueState("totals", "stores bigint, clock bigint")
 
     def handleInputRows(self, key, rows, timerValues):
         table = pa.Table.from_pylist([row.asDict(recursive=True) for row in rows],
                                      schema=self.schema).sort_by("arrival_seq")
         stores, clock = self.totals.get() or (0, None)
-        touched = open_gates(table, {}, self.checks)
-        before, seeds = {}, {}
-        for check, gate in zip(self.checks, touched):
-            seeds[check.name] = {}
-            for code in gate.keys.in_rows:
-                text = gate.keys.text(code)
-                state = self._state(check, text)
-                before[check.name, text] = state
-                seed = check.seed(state, stores, clock)
-                seeds[check.name][text] = None if seed is None else json.dumps(seed)
-        gates = open_gates(table, seeds, self.checks)
-        passed = walk(table.num_rows, gates)
-        for check, gate in zip(self.checks, gates):
-            for text, _, effect in gate.effects():
-                if effect is not None:
-                    after = check.after(before[check.name, text], json.loads(effect), stores,
-                                        clock)
-                    self.states.updateValue((check.name, text),
-                                            (json.dumps(check.as_effect(after)),))
-        for check, gate in zip(self.checks, gates):
-            if check.name == UNIQUENESS and gate.stores:
-                stores, clock = stores + gate.stores, gate.clock
+        before, seeds = {}, []
+        for check, lane in zip(self.checks, open_lanes(table, None, self.checks)):
+            for parts in lane.keys.texts(lane.keys.in_rows).to_pylist():
+                state = before[check.name, tuple(parts)] = self._state(check, parts)
+                seed = state
+                if isinstance(check, Uniqueness):
+                    seed = check.seed(state and state[:2], stores, clock)
+                names = "abc" if isinstance(check, Uniqueness) else ("a", "b", "text")
+                seeds.append({"check": check.name, "key": parts, "seed": seed and dict(zip(names, seed))})
+        lanes = open_lanes(table, pa.Table.from_pylist(seeds, schema=_SEEDS), self.checks)
+        passed = walk(table.num_rows, lanes)
+        for check, lane in zip(self.checks, lanes):
+            effects = lane.effects()
+            for parts, pieces, text in zip(*[effects[c].to_pylist() for c in ("key", "pieces", "text")]):
+                if pieces or text is not None:
+                    self.states.updateValue((check.name, json.dumps(parts)), self._after(
+                        check, before[check.name, tuple(parts)], pieces, text, stores, clock))
+        for check, lane in zip(self.checks, lanes):
+            if check.name == UNIQUENESS and lane.stores:
+                stores, clock = stores + lane.stores, lane.last_clock
                 self.totals.update((stores, clock))
                 self._forget(check, stores, clock)
-        for row in verdict_columns(table, passed, gates, self.checks).to_pylist():
+        for row in verdict_columns(table, passed, lanes, self.checks).to_pylist():
             yield Row(**row)
 
-    def _state(self, check: Check, text: str):
-        stored = self.states.getValue((check.name, text))
-        return None if stored is None else check.after(None, json.loads(stored[0]), 0, None)
+    def _state(self, check: Check, parts: list[str]) -> tuple | None:
+        stored = self.states.getValue((check.name, json.dumps(parts)))
+        return None if stored is None else tuple(stored)
+
+    def _after(self, check: Check, state: tuple | None, pieces: list[dict] | None, text: str | None,
+               stores: int, clock: int | None) -> tuple:
+        """The state (number or value, time, text) that an effect leaves."""
+        if isinstance(check, CustomCheck | CombiningCheck):
+            return None, None, check.after_text(state and state[2], text)
+        found = [(p["x"], p["y"], p["to"], p["time"]) for p in pieces]
+        if isinstance(check, Uniqueness):
+            found = check.placed(found, stores, clock)
+        return *check.after(state and state[:2], found), None
 
     def _forget(self, check: Check, stores: int, clock: int) -> None:
         """Remove stored ids that are no longer live, once per micro-batch."""
         if check.cap is None and check.ttl_ms is None:
             return
         dead = [key for key, value in self.states.iterator() if key[0] == check.name
-                and check.seed(json.loads(value[0]), stores, clock) is None]
+                and check.seed(tuple(value)[:2], stores, clock) is None]
         for key in dead:
             self.states.removeKey(tuple(key))
 

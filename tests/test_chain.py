@@ -1,4 +1,5 @@
 import random
+from functools import reduce
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,7 +7,9 @@ from pyspark.sql import functions as F
 from sluicegate.operators import reports
 from sluicegate.operators.chain import verify_chain
 from sluicegate.operators.normalize import normalise
-from sluicegate.plans.checks import CustomCheck, OffsetOrder, Uniqueness, default_checks
+from sluicegate.plans import fold
+from sluicegate.plans.checks import (CombiningCheck, CustomCheck, OffsetOrder, Uniqueness,
+                                     default_checks)
 from sluicegate.sources.records import load_records
 from sluicegate.sources.sample import sample_records
 from tests.conftest import SF_SMALL, in_order, uid
@@ -124,6 +127,58 @@ def test_many_copies_of_an_expiring_id_in_a_chunk(spark):
     assert {r.verified: r["count"] for r in got} == {True: 10_000, False: 30_000}
 
 
+@pytest.mark.parametrize("seed, block", [(1, 2), (3, 4), (4, 3)])
+def test_effects_carried_over_many_levels(make_records, monkeypatch, seed, block):
+    """Chunks of three records in blocks of a few: five levels and more, the same verdicts."""
+    monkeypatch.setattr(fold, "BLOCK", block)
+    rows = random_rows(seed, 200, 3, 12, 0.33)
+    want, *_ = judge(as_model(rows), 100, 20, 60)
+    run = verify_chain(normalise(make_records(rows)), default_checks(100, 20, 60), 3)
+    assert run.chunks == 67 and in_order(run.verdicts, "failed_by") == want
+
+
+def test_one_key_in_two_thousand_chunks(spark):
+    """The chunks of a key meet in blocks: no group of rows is larger than a block."""
+    effects = spark.range(2_000).select(
+        F.col("id").alias("chunk"), F.lit("offset").alias("check"),
+        F.array(F.lit("t"), F.lit("0")).alias("key"),
+        F.array(F.struct((F.col("id") * 7919 % 2_003 - 1).alias("x"), F.lit(None).cast("long").alias("y"),
+                         (F.col("id") * 7919 % 2_003).alias("to"),
+                         F.lit(None).cast("long").alias("time"))).alias("pieces"))
+    every = effects.select(*[F.col(f.name) if f.name in effects.columns else
+                             F.lit(None).cast(f.dataType).alias(f.name) for f in fold.EFFECT_SCHEMA])
+    got = {r["chunk"]: r["seed"] for r in fold.carry_effects(every, [OffsetOrder()], 2_000).collect()}
+    state = None
+    for chunk in range(2_000):
+        assert (got[chunk] and got[chunk]["a"]) == state
+        value = chunk * 7919 % 2_003
+        state = value if state is None or state <= value - 1 else state
+    plan = fold.carry_effects(every, [OffsetOrder()], 2_000)._jdf.queryExecution().toString()
+    assert f"div {fold.BLOCK}" in plan and "block" in plan
+
+
+def test_store_effects_compose():
+    """Composed pieces end a state where the pieces one after the other do."""
+    rng = random.Random(5)
+    for _ in range(3_000):
+        check = Uniqueness(rng.choice([2, 5, None]), rng.choice([4, 9, None]))
+        place, parts = 0, []
+        for _ in range(rng.randrange(1, 5)):
+            part = []
+            for _ in range(rng.randrange(4)):
+                place += rng.randrange(1, 4)
+                part.append((place, place * 2, place + rng.randrange(1, 3), place * 2 + 1))
+            parts.append(part)
+        if rng.random() < 0.3:
+            parts[0] = [(None, None, 0, 0)]
+        whole = reduce(check.composed, parts, [])
+        for state in [None, *((-n, -2 * n) for n in range(8))]:
+            want = state
+            for part in parts:
+                want = check.after(want, part)
+            assert check.after(state, whole) == want
+
+
 def test_state_goes_on(make_records):
     rows = random_rows(7, 200, 3, 30)
     want, *_ = judge(as_model(rows), 50, 15, 200)
@@ -167,6 +222,37 @@ def test_empty_input(make_records):
     assert verify_chain(normalise(make_records([{}]).where("false"))).verdicts.count() == 0
 
 
+def test_counting_check_settles_in_few_passes(spark):
+    """A quota per sender over fourteen chunks; the counts of chunks add up."""
+    i = F.col("id")
+    rows = spark.range(2_800).select(
+        i.alias("arrival_seq"), F.lit("t").alias("topic"), (i % 2).cast("int").alias("partition"),
+        i.alias("offset"), (i % 3).cast("string").alias("sender_raw"),
+        (i % 3).cast("string").alias("sender_key"), F.lit(True).alias("time_given"),
+        i.alias("sender_ts"), F.lit(True).alias("id_given"), i.cast("string").alias("message_id"),
+        i.alias("ingest_ms"))
+    quota = CombiningCheck("quota", 5, ("sender_raw",), lambda row, n: (n or 0) < 500,
+                           lambda row: 1, lambda a, b: a + b)
+    run = verify_chain(rows, [*default_checks(), quota], 200)
+    assert run.chunks == 14 and run.passes <= 3
+    got = {r.sender_raw: r["count"] for r in
+           run.verdicts.where("verified").groupBy("sender_raw").count().collect()}
+    assert got == {"0": 500, "1": 500, "2": 500}
+    first = run.verdicts.where("not verified").groupBy("sender_raw").agg(F.min("arrival_seq"))
+    assert {tuple(r) for r in first.collect()} == {("0", 1500), ("1", 1501), ("2", 1502)}
+
+
+def test_combining_keeps_the_order(make_records):
+    """Values that do not commute: the ids of a sender so far, in order."""
+    trail = CombiningCheck("trail", 0, ("sender_raw",), lambda row, ids: len(ids or ()) < 4,
+                           lambda row: [row["offset"]], lambda a, b: a + b, ("offset",))
+    rows = [{"sender": "ab"[i % 2], "id": uid(i)} for i in range(14)]
+    run = verify_chain(normalise(make_records(rows)), [trail], 3, keep_state=True)
+    assert in_order(run.verdicts, "verified") == [i < 8 for i in range(14)]
+    state = {r["key"][0]: r["text"] for r in run.state.where("check = 'trail'").collect()}
+    assert state == {"a": "[0, 2, 4, 6]", "b": "[1, 3, 5, 7]"}
+
+
 @pytest.mark.parametrize("chunk_rows", [2, 1000])
 def test_custom_check(make_records, chunk_rows):
     """At most two accepted records per sender, checked between the built-in ones."""

@@ -84,13 +84,27 @@ def test_topic_numbers_and_clock_go_on(spark, tmp_path):
     assert rejected.where("value is null or failed_by is null").count() == 0
 
 
-def test_only_two_states_are_kept(spark, tmp_path):
+def test_state_is_a_log(spark, tmp_path):
+    """Deltas of changed keys, a base every third batch, older folders go; a batch runs twice."""
     records = load_records(spark, SF_SMALL)
-    consumer = Consumer(str(tmp_path / "out"))
-    for batch_id in range(4):
-        consumer.process(records.where(F.col("arrival_seq") % 4 == batch_id), batch_id)
-    assert sorted(p.name for p in (tmp_path / "out").glob("state-*")) == [
-        f"state-{n:010d}" for n in (2, 3)]
+    consumer, plain = Consumer(str(tmp_path / "a"), merge_every=3), Consumer(str(tmp_path / "b"))
+    n, seen = 8, []
+    for batch_id in (0, 1, 2, 2, 3, 4, 5, 6, 7):
+        part = records.where(F.floor(F.col("arrival_seq") * n / 1_112) == batch_id)
+        consumer.process(part, batch_id)
+        seen.append(sorted(p.name for p in (tmp_path / "a" / "state").iterdir()))
+    names = lambda *parts: [f"{batch:010d}-{kind}" for batch, kind in parts]
+    assert seen[1] == names((0, "delta"), (1, "delta"))
+    assert seen[2] == seen[3] == names((0, "delta"), (1, "delta"), (2, "base"))
+    assert seen[4] == names((2, "base"), (3, "delta"))
+    assert seen[-1] == names((5, "base"), (6, "delta"), (7, "delta"))
+    rows = {batch: spark.read.parquet(str(tmp_path / "a" / "state" / name)).count()
+            for batch, name in zip((5, 6), seen[-1])}
+    assert rows[6] < rows[5]
+    plain.process(records, 0)
+    shape = ["check", "key", "pieces", "text", "stores", "clock"]
+    got = [{str(tuple(r)) for r in c.state(spark).select(*shape).collect()} for c in (consumer, plain)]
+    assert got[0] == got[1]
 
 
 def test_lanes_equal_batch(spark, tmp_path):
