@@ -9,8 +9,8 @@ there. Records are placed by language and first two words and sorted, so one pas
 gives the counts of two, three and four words; words alone are added up once more.
 
 A pair of words that is frequent within a slice of texts has its records dealt out by the words
-that follow, and a marker tells the pair's own partition, which then passes on all counts of the pair.
-Those are added up in a second step; other counts below ``min_count`` end where they are found.
+that follow, and a marker tells the pair's own partition, which then passes on all its counts. Those
+are added up in a second step; other counts below ``min_count`` end where they are found.
 
 Edges whose node in between has no other way in or out, no piece starting and none ending there, are
 compacted to paths by pointer doubling. A phrase inside a longer one is looked up in the paths.
@@ -23,6 +23,7 @@ table gives no rows; a very long text is read whole, in memory in proportion to
 from __future__ import annotations
 
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import numpy as np
 import pyarrow as pa
@@ -47,15 +48,15 @@ HEAVY_LEAST = 32
 _BORDERS = b".,;:!?\n\x0b\x0c\r"
 _PLAIN = bytes(46 if c in _BORDERS else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c
                for c in range(256))
-_RECORDS = pa.schema([("gram", pa.binary()), ("lang", pa.string()), ("salt", pa.int32()),
-                      ("n", pa.int64())])
+# ``gram`` is the language, quoted so that it has no space, and the words, each with a space after it.
+_RECORDS = pa.schema([("gram", pa.binary()), ("salt", pa.int32()), ("n", pa.int64())])
 _PARTS = pa.schema([("lang", pa.string()), ("gram", pa.binary()), ("words", pa.int32()),
                     ("n", pa.int64())])
 _MARKER = -1
 
 
 def _records(texts: list[bytes], lang: str, hashes: WordHashes) -> pa.RecordBatch | None:
-    """One row per distinct record of the texts; every word ends with a space."""
+    """One row per distinct record of the texts."""
     tokens = b" . ".join(text.translate(_PLAIN).replace(b".", b" . ") for text in texts).split()
     tokens.append(b".")
     coded = pa.array(tokens, pa.binary()).dictionary_encode()
@@ -87,15 +88,17 @@ def _records(texts: list[bytes], lang: str, hashes: WordHashes) -> pa.RecordBatc
         spread = mix(known[codes[places[dealt] + 2]] * np.uint64(3) + known[fourth])
         salt[dealt] = 1 + (spread % np.uint64(SALTS)).astype(np.int64)
 
-    texts_of = pa.array([b"", *[word + b" " for word in words]], pa.binary())
+    spaced = [word + b" " for word in words]
+    texts_of = pa.array([b"", *spaced], pa.binary())
+    prefix = quote(lang).encode() + b" "
+    first_of = pa.array([b"", *[prefix + word for word in spaced]], pa.binary())
     none = np.zeros(len(marked), np.int64)
     gram = pc.binary_join_element_wise(*[
-        texts_of.take(pa.array(np.concatenate([np.where(length > k, codes[places + k], 0), more])))
+        (texts_of if k else first_of).take(pa.array(
+            np.concatenate([np.where(length > k, codes[places + k], 0), more])))
         for k, more in enumerate((left[marked], right[marked], none, none))], b"")
-    n = len(gram)
     return pa.RecordBatch.from_arrays([
-        gram, pa.array([lang], pa.string()).take(pa.array(np.zeros(n, np.int64))),
-        pa.array(np.concatenate([salt, np.full(len(marked), _MARKER)]), pa.int32()),
+        gram, pa.array(np.concatenate([salt, np.full(len(marked), _MARKER)]), pa.int32()),
         pa.array(np.concatenate([counts, np.zeros(len(marked), np.int64)]), pa.int64())],
         schema=_RECORDS)
 
@@ -127,28 +130,34 @@ def _flow(min_count: int):
         levels = [_Open() for _ in range(LONGEST)]
         lang = None
         for batch in batches:
-            for some in _by_language(batch):
-                if some.column("lang")[0].as_py() != lang:
+            for prefix, some in _by_language(batch):
+                if prefix != lang:
                     yield _table(lang, _close(levels, min_count))
-                    lang = some.column("lang")[0].as_py()
+                    lang = prefix
                 yield _table(lang, _count(some, levels, min_count))
         yield _table(lang, _close(levels, min_count))
 
     return run
 
 
-def _by_language(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    runs = pc.run_end_encode(batch.column("lang"))
+def _by_language(batch: pa.RecordBatch) -> Iterator[tuple[bytes, pa.RecordBatch]]:
+    """Runs of sorted records of a language, without it."""
     start = 0
-    for end in runs.run_ends.to_pylist():
-        yield batch.slice(start, end - start)
-        start = end
+    while start < batch.num_rows:
+        rest = batch.slice(start)
+        prefix = rest.column("gram")[0].as_py().split(b" ")[0]
+        own = pc.sum(pc.starts_with(rest.column("gram"), prefix + b" ")).as_py()
+        some = rest.slice(0, own)
+        words = pc.binary_slice(some.column("gram"), len(prefix) + 1, np.iinfo(np.int32).max)
+        yield prefix, some.set_column(0, "gram", words)
+        start += own
 
 
-def _table(lang: str | None, found: list[tuple[bytes, int, int]]) -> pa.RecordBatch:
+def _table(lang: bytes | None, found: list[tuple[bytes, int, int]]) -> pa.RecordBatch:
     grams, words, counts = zip(*found) if found else ((), (), ())
     return pa.RecordBatch.from_arrays([
-        pa.array([lang] * len(grams), pa.string()), pa.array(grams, pa.binary()),
+        pa.array([unquote(lang.decode())] * len(grams) if grams else [], pa.string()),
+        pa.array(grams, pa.binary()),
         pa.array(words, pa.int32()), pa.array(counts, pa.int64())], schema=_PARTS)
 
 
@@ -217,9 +226,8 @@ def phrase_counts(docs: DataFrame, scratch: Scratch, min_count: int = MIN_COUNT)
     texts = docs.select(F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"),
                         F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"))
     records = texts.mapInArrow(_read, from_arrow_schema(_RECORDS))
-    pair = F.substring_index(F.col("gram").cast("string"), " ", 2)
-    placed = (records.repartition(pair, "lang", F.greatest("salt", F.lit(0)))
-              .sortWithinPartitions("lang", "gram"))
+    pair = F.substring_index(F.col("gram").cast("string"), " ", 3)  # with its language
+    placed = records.repartition(pair, F.greatest("salt", F.lit(0))).sortWithinPartitions("gram")
     parts = scratch.keep("parts", placed.mapInArrow(_flow(min_count), from_arrow_schema(_PARTS)))
     counts = (parts.groupBy("lang", F.col("gram").cast("string").alias("gram"), "words")
               .agg(F.sum("n").alias("n")))
