@@ -82,6 +82,9 @@ def _local_filter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 [pa.array(x) for x in (cell >> _BLOCK_BITS, cell, once, twice)], schema=_CELLS)
 
 
+_GONE = ("gone doc_id", "gone text_sha256")
+
+
 def _merge_block(rows: pa.Table) -> pa.Table:
     """Merge the cells of one block; only cells with repeated bits are kept."""
     cell, once, twice = (rows.column(c).to_numpy() for c in ("cell", "once", "twice"))
@@ -131,10 +134,13 @@ def _compare(possible: DataFrame) -> DataFrame:
 def drop_duplicates(docs: DataFrame) -> DataFrame:
     """The documents themselves, one of each group of equal texts.
 
-    ``doc_id`` must name a document; of rows that repeat both ``doc_id`` and text all stay.
+    A row goes if its id and text are those of a copy that is not kept, so rows of one id and different
+    texts are judged apart; of rows that repeat both id and text, and of copies without an id, all stay.
     """
-    gone = mark_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    gone = mark_duplicates(docs).where(~F.col("kept")).select(
+        F.col("doc_id").alias(_GONE[0]), F.col("text_sha256").alias(_GONE[1])).distinct()
+    own = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
+    return docs.join(gone, (F.col("doc_id") == F.col(_GONE[0])) & (own == F.col(_GONE[1])), "left_anti")
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -108,14 +108,26 @@ class Searcher:
         return sorted(found, key=lambda f: (f.start, f.end, f.notice))
 
 
+class _SpaceCount:
+    """Number of spaces before rising places; every part of the text is counted once."""
+
+    def __init__(self, text: str):
+        self.text, self.at, self.n = text, 0, 0
+
+    def before(self, place: int) -> int:
+        self.n += self.text.count(" ", self.at, place)
+        self.at = place
+        return self.n
+
+
 def base_places(joined: str) -> Iterator[tuple[int, str]]:
     """(word, label) of every place of a base phrase in words joined by spaces."""
     padded = f" {joined} "
     for phrase, label in BASE.items():
         wanted = f" {phrase} "
-        at = padded.find(wanted)
+        spaces, at = _SpaceCount(padded), padded.find(wanted)
         while at >= 0:
-            yield padded.count(" ", 0, at), label
+            yield spaces.before(at), label
             at = padded.find(wanted, at + 1)
 
 
@@ -162,10 +174,11 @@ def find_notices(docs: DataFrame, notices: list[tuple[str, str, int]] = NOTICES)
             for doc, text in zip(batch.column("doc_id").to_pylist(),
                                  batch.column("text").to_pylist()):
                 joined = _normalised(text)[1]
+                spaces = _SpaceCount(joined)
                 for f in searcher.find(joined):
                     matched = joined[f.start:f.end]
                     out.append((doc, notices[f.notice][1], notices[f.notice][0],
-                                joined.count(" ", 0, f.start), matched.count(" ") + 1, f.edits,
+                                spaces.before(f.start), matched.count(" ") + 1, f.edits,
                                 matched))
             return dict(zip(_SPANS.names, zip(*out))) if out else None
 

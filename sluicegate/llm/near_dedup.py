@@ -312,10 +312,36 @@ def _merge_labels(labels: DataFrame | None, links: DataFrame, scratch: Scratch,
 def mark_near_duplicates(docs: DataFrame, shingling: Shingling) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id`` and ``kept`` of every row."""
     scratch = Scratch(docs.sparkSession, "near-dedup")
-    return link_documents(docs, shingling, scratch).withColumn(
+    repeated = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
+    linked = (link_documents(docs, shingling, scratch) if repeated.isEmpty() else
+              _link_rows(docs, shingling, scratch))
+    return linked.withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def _link_rows(docs: DataFrame, shingling: Shingling, scratch: Scratch) -> DataFrame:
+    """The same for ids that several rows have, whose texts may differ.
+
+    Rows are linked under numbers of their own; then the components that share an id are joined.
+    """
+    numbered = scratch.keep("numbered", docs.select(
+        "doc_id", "text", F.monotonically_increasing_id().alias("number")))
+    given = numbered.where("doc_id is not null")
+    linked = scratch.keep("linked", link_documents(
+        given.select(F.col("number").alias("doc_id"), "text"), shingling, scratch).select(
+        F.col("doc_id").alias("number"), "n_shingles", F.col("component_id").alias("part")))
+    named = linked.join(given.select("number", "doc_id"), "number")
+    links = (named.join(named.groupBy("doc_id").agg(F.min("part").alias("a")), "doc_id")
+             .select("a", F.col("part").alias("b")).where("a <> b").distinct())
+    labels = components(links, scratch).withColumnRenamed("node", "part")
+    whole = (named.join(labels, "part", "left")
+             .withColumn("label", F.coalesce("label", "part")))
+    least = whole.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    nameless = signatures(numbered.where("doc_id is null"), shingling)
+    return whole.join(least, "label").select("doc_id", "n_shingles", "component_id").unionByName(
+        nameless.select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id")))
+
+
 def drop_near_duplicates(docs: DataFrame, shingling: Shingling) -> DataFrame:
     """The documents themselves, one of each component, with all their columns."""
     gone = mark_near_duplicates(docs, shingling).where(~F.col("kept")).select("doc_id").distinct()

@@ -104,7 +104,8 @@ def write_shards(docs: DataFrame, path: str, limit_bytes: int = LIMIT_BYTES) ->
     """Write the documents with a folder per shard; returns the directory of shards.
 
     A folder's name is ``b`` and the shard's bits, so that readers take it for text. Every row is
-    written once, with or without a ``doc_id`` of its own. All columns are kept.
+    written once, with or without a ``doc_id`` of its own. All columns are kept: if one is called
+    ``shard``, the folders' column gets underscores behind that name.
     """
     scratch = Scratch(docs.sparkSession, "shards")
     # The numbers are written with the rows, so they stay the same.
@@ -112,8 +113,11 @@ def write_shards(docs: DataFrame, path: str, limit_bytes: int = LIMIT_BYTES) ->
     placed = scratch.keep("assigned", assign_shards(
         numbered, limit_bytes, scratch=scratch, number=_NUMBER).withColumn(
         "shard", F.concat(F.lit("b"), "shard")))
-    named = numbered.join(placed.select(_NUMBER, "shard"), _NUMBER).drop(_NUMBER)
-    named.repartition("shard").write.partitionBy("shard").parquet(path)
+    folder = "shard"
+    while folder in docs.columns:
+        folder += "_"
+    named = numbered.join(placed.select(_NUMBER, F.col("shard").alias(folder)), _NUMBER).drop(_NUMBER)
+    named.repartition(folder).write.partitionBy(folder).parquet(path)
     return placed.groupBy("shard").agg(F.first("shard_docs").alias("shard_docs"),
                                        F.first("shard_bytes").alias("shard_bytes"))
 

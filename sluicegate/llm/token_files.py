@@ -101,9 +101,12 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int,
                "parquet.page.size": page_bytes, "parquet.enable.dictionary": "true",
                **{f"parquet.enable.dictionary#{c}": "false"
                   for c in ("doc_id", "local_start", "n_tokens")}}
-    map_texts(ordered, work, _ROWS).write.options(**options).parquet(f"{path}/data")
+    # A task writes one file, whatever the session says, and places count within it.
+    map_texts(ordered, work, _ROWS).write.options(**options).option("maxRecordsPerFile", 0).parquet(
+        f"{path}/data")
 
-    earlier = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    # Files are in the order of their task's number; as text 100000 would come before 10001.
+    earlier = Window.orderBy(file_number("file")).rowsBetween(Window.unboundedPreceding, -1)
     (spark.read.parquet(f"{path}/data")
      .groupBy(F.col("_metadata.file_name").alias("file"))
      .agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_ids"),
@@ -113,6 +116,11 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int,
     return TokenFiles(spark, path)
 
 
+def file_number(name: str) -> Column:
+    """Number of the task that wrote a file."""
+    return F.regexp_extract(name, r"^part-(\d+)", 1).cast("long")
+
+
 def _digest(batches):
     for batch in batches:
         ids = batch.column("ids")
