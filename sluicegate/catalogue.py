@@ -11,6 +11,7 @@ from .functions import headers as H
 from .operators import bloom, histogram, keystore, reports, single
 from .operators import normalize as N
 from .operators.chain import verify_chain
+from .operators.storelog import replay
 from .plans.checks import CombiningCheck, CustomCheck, default_checks
 from .plans.scratch import Scratch, with_settings
 from .sources import kafka
@@ -428,6 +429,38 @@ def _(spark, sf_dir):
                            again.select("sender_key", "message_id").unionByName(unknown))
 
 
+OPS_CAP, OPS_TTL_MS = 75, 60_000
+
+
+def _operations(spark, sf_dir):
+    """A log of store operations: every key is stored, some are removed and looked up later."""
+    rows = _normalised(spark, sf_dir)
+    seq, ms = F.col("arrival_seq"), F.col("ingest_ms")
+    keyed = rows.where(N.is_keyed())
+
+    def later(kind, every, records, place):
+        return keyed.where(seq % every == 0).select(
+            (4 * (seq + records) + place).alias("op_seq"), F.lit(kind).alias("kind"), "sender_key",
+            "message_id", (ms + 500 * records).alias("op_ms"))
+
+    clears = rows.where(seq % 3_000 == 2_999).select(
+        (4 * seq + 3).alias("op_seq"), F.lit("clear").alias("kind"), ms.alias("op_ms"))
+    return (later("store", 1, 0, 0).unionByName(later("remove", 5, 60, 1))
+            .unionByName(later("exists", 3, 90, 2)).unionByName(clears, allowMissingColumns=True))
+
+
+@query("key_store_ops")
+def _(spark, sf_dir):
+    """Look-ups in a store that is also removed from and cleared in between."""
+    return replay(_operations(spark, sf_dir), OPS_CAP, OPS_TTL_MS, SMALL_CHUNK).answers
+
+
+@query("key_store_after_ops")
+def _(spark, sf_dir):
+    """What that store holds in the end."""
+    return replay(_operations(spark, sf_dir), OPS_CAP, OPS_TTL_MS, SMALL_CHUNK).store
+
+
 @query("key_store_after_clear")
 def _(spark, sf_dir):
     """Clear half way through the log, then go on storing."""

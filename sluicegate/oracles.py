@@ -270,6 +270,35 @@ select keys as expected_keys, cast(bits as int) as n_bits, hashes as n_hashes, k
 from sized, (select count(*) as k from bits_of)"""
 
 
+def _operations(body: str, cap: int = 75, ttl: int = 60_000) -> str:
+    """One recursive step per store operation."""
+    return f"""with recursive {_RECORDS.format(**_SAME)},
+keyed as (select arrival_seq, concat(sender_key, ':', message_id) as k, sender_key, message_id, ingest_ms
+          from n where sender_key is not null and message_id is not null),
+ops as materialized (select *, row_number() over (order by op_seq) as i from (
+  select 4 * arrival_seq as op_seq, 'store' as op, k, sender_key, message_id, ingest_ms as ms from keyed
+  union all select 4 * (arrival_seq + 60) + 1, 'remove', k, sender_key, message_id, ingest_ms + 30000
+            from keyed where arrival_seq % 5 = 0
+  union all select 4 * (arrival_seq + 90) + 2, 'exists', k, sender_key, message_id, ingest_ms + 45000
+            from keyed where arrival_seq % 3 = 0
+  union all select 4 * arrival_seq + 3, 'clear', null, null, null, ingest_ms
+            from n where arrival_seq % 3000 = 2999)),
+step as (
+  select cast(0 as bigint) as i, []::struct(k varchar, t bigint, s bigint)[] as ids,
+    cast(null as boolean) as found
+  union all
+  select o.i,
+    case o.op when 'clear' then []
+      when 'remove' then list_filter(p.ids, lambda x: x.k <> o.k)
+      when 'store' then list_slice(list_filter(list_append(
+          list_filter(p.ids, lambda x: x.k <> o.k), {{'k': o.k, 't': o.ms, 's': o.op_seq}}),
+        lambda x: o.ms - x.t <= {ttl}), -{cap}, -1)
+      else p.ids end,
+    case when o.op = 'exists' then list_contains(list_transform(p.ids, lambda x: x.k), o.k) end
+  from step p join ops o on o.i = p.i + 1)
+{body}"""
+
+
 def oracle_sql() -> dict[str, str]:
     price = "select l_extendedprice as x from lineitem"
     total = "select o_totalprice as x from orders"
@@ -408,6 +437,13 @@ select * from store order by stored_ms desc, stored_seq desc limit 500"""),
         "live_keys": _chain(live.format(columns="*")),
         "stream_live_keys": _chain(live.format(columns="sender_key, message_id, stored_ms")),
         "key_store_size": _with(_LOG + _SMALL_LIVE + "\nselect count(*) as n from live"),
+        "key_store_ops": _operations("""
+select op_seq, sender_key, message_id, found as is_stored from step join ops using (i)
+where op = 'exists'"""),
+        "key_store_after_ops": _operations("""
+select o.sender_key, o.message_id, t as stored_ms, s as stored_seq
+from (select unnest(ids, recursive := true) from (select ids from step order by i desc limit 1)) e
+join ops o on o.op_seq = e.s"""),
         "key_remove": _with(_LOG + """
 select * from store s where not exists (
   select 1 from log l where l.kind = 1 and l.sender_key = s.sender_key
