@@ -623,14 +623,24 @@ def _(spark, sf_dir):
                   "offset", "partition", "key", "value", "ingest_ms")
 
 
-@query("stream_lane_verify")
-def _(spark, sf_dir):
-    """One lane per topic partition with keyed state, and a key store that forgets nothing."""
+def _lane_stream(spark, sf_dir, checks):
+    """One lane per topic partition with keyed state."""
     other = with_settings(spark, {"spark.sql.streaming.stateStore.providerClass": ROCKSDB})
     path = Scratch(spark, "lanes").path("run")
     _records(spark, sf_dir).select(*RECORD_SCHEMA.names).write.parquet(f"{path}/in")
-    verdicts = verify_stream(stream_records(other, f"{path}/in"),
-                             checks=default_checks(cap=None, ttl_ms=None))
+    verdicts = verify_stream(stream_records(other, f"{path}/in"), checks=checks)
     (verdict_stream(verdicts, f"{path}/out", f"{path}/checkpoint")
      .trigger(availableNow=True).start().awaitTermination())
     return _place(spark.read.parquet(f"{path}/out"), *_VERDICT)
+
+
+@query("stream_lane_verify")
+def _(spark, sf_dir):
+    """With a key store that forgets nothing."""
+    return _lane_stream(spark, sf_dir, default_checks(cap=None, ttl_ms=None))
+
+
+@query("stream_lane_store")
+def _(spark, sf_dir):
+    """With a key store per lane that forgets by size and age."""
+    return _lane_stream(spark, sf_dir, default_checks(cap=100, ttl_ms=100_000))

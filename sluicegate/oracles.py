@@ -54,7 +54,7 @@ def _with(body: str, source: dict = _SAME) -> str:
 
 def _chain(body: str, threshold: int = 0, cap: int = 10_000, ttl: int = 300_000,
            checks: tuple[str, ...] = ("custom", "uniqueness", "offset", "sender_watermark"),
-           source: dict = _SAME, custom: bool = False, quota: int | None = None) -> str:
+           source: dict = _SAME, custom: bool = False, quota: int | None = None, lanes: bool = False) -> str:
     """One recursive step per record, all state in the row of the step."""
     tests = []
     if custom:
@@ -68,6 +68,14 @@ def _chain(body: str, threshold: int = 0, cap: int = 10_000, ttl: int = 300_000,
     if "sender_watermark" in checks:
         tests.append(f"when pw - sender_ts > {max(0, threshold)} then 'sender_watermark'")
     failed = f"case {' '.join(tests)} end"
+    entry, own, mine = "{'p': part, 'k': k, 't': ingest_ms}", "ids", "s.ids"
+    if lanes:  # a key store for each partition
+        own, mine = (f"list_filter({ids}, lambda x: x.p = {part})"
+                     for ids, part in (("ids", "part"), ("s.ids", "q.part")))
+    stored = (f"list_slice(list_filter(list_append({own}, {entry}), "
+              f"lambda x: ingest_ms - x.t <= {ttl}), -{cap}, -1)")
+    if lanes:
+        stored = f"list_concat(list_filter(ids, lambda x: x.p <> part), {stored})"
     return f"""with recursive {_RECORDS.format(**source)},
 q as materialized (
   select *, arrival_seq + 1 as i, concat(sender_key, ':', message_id) as k0,
@@ -79,7 +87,7 @@ q as materialized (
   from n),
 step as (
   select cast(0 as bigint) as i, map([]::int[], []::bigint[]) as offs,
-    map([]::varchar[], []::bigint[]) as wms, []::struct(k varchar, t bigint)[] as ids,
+    map([]::varchar[], []::bigint[]) as wms, []::struct(p int, k varchar, t bigint)[] as ids,
     map([]::varchar[], []::int[]) as classes, map([]::varchar[], []::int[]) as counts,
     cast(null as varchar) as failed_by, cast(null as bigint) as po, cast(null as bigint) as pw
   union all
@@ -88,8 +96,7 @@ step as (
     case when failed_by is null and wk is not null
          then map_concat(wms, map([wk], [sender_ts])) else wms end,
     case when failed_by is null and k is not null
-         then list_slice(list_filter(list_append(ids, {{'k': k, 't': ingest_ms}}),
-                         lambda x: ingest_ms - x.t <= {ttl}), -{cap}, -1) else ids end,
+         then {stored} else ids end,
     case when failed_by is null and sender_raw is not null
          then map_concat(classes, map([sender_raw], [cls])) else classes end,
     case when failed_by is null and sender_raw is not null
@@ -98,7 +105,7 @@ step as (
   from (select *, {failed} as failed_by
         from (select q.*, s.offs, s.wms, s.ids, s.classes, s.counts, s.offs[q.part] as po, s.wms[q.wk] as pw,
                 s.classes[q.sender_raw] as last_cls, s.counts[q.sender_raw] as taken,
-                q.k is not null and list_contains(list_transform(s.ids, lambda x: x.k), q.k) as dup
+                q.k is not null and list_contains(list_transform({mine}, lambda x: x.k), q.k) as dup
               from step s join q on q.i = s.i + 1) as looked_up) as tested),
 judged as materialized (
   select q.arrival_seq, topic, part, off, sender_raw, sender_key, sender_ts, message_id, ingest_ms,
@@ -388,6 +395,7 @@ from n where sender_raw is not null and sender_ts is not null group by all"""),
             "select arrival_seq, verdict, verified, failed_by from judged", custom=True),
         "stream_chain_verify": _chain(_VERDICTS),
         "stream_lane_verify": _chain(_VERDICTS, cap=10**9, ttl=10**15),
+        "stream_lane_store": _chain(_VERDICTS, cap=100, ttl=100_000, lanes=True),
         "accepted_records": _chain(
             f"select arrival_seq, part, off, sender_raw, sender_ts, message_id {accepted}"),
         "rejected_records": _chain("""

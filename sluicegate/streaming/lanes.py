@@ -9,6 +9,7 @@ limits of the key store apply per lane. ``Consumer`` is exact in all cases.
 from __future__ import annotations
 
 import json
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row
@@ -37,22 +38,34 @@ def lane_column(lane: str) -> Column:
     raise ValueError(f"unknown lane {lane!r}")
 
 
+SLOT_STORES = 256  # most stores of a slot of the expiry index
+
+
 class LaneProcessor(StatefulProcessor):
-    """Keeps one state per check and key of the lane, and the totals of its key store."""
+    """Keeps one state per check and key of the lane, and the totals of its key store.
+
+    Stored keys are forgotten in the order of their stores. So an index keeps the keys in slots of
+    consecutive stores, and only slots at its old end are looked at: forgetting costs as
+    much as storing did, however many keys the lane holds.
+    """
 
     def __init__(self, checks: list[Check], rows: T.StructType):
         self.checks = checks
-        self.names = rows.names
+        caps = [c.cap for c in checks if isinstance(c, Uniqueness) and c.cap is not None]
+        self.slot_stores = max(1, min(SLOT_STORES, *[cap // 4 for cap in caps], SLOT_STORES))
         self.schema = to_arrow_schema(rows)
 
     def init(self, handle) -> None:
         self.states = handle.getMapState("states", "check string, key string",
                                          "a bigint, b bigint, text string")
         self.totals = handle.getValueState("totals", "stores bigint, clock bigint")
+        self.slots = handle.getMapState("slots", "slot bigint", "keys array<string>, time bigint")
+        self.oldest = handle.getValueState("oldest", "slot bigint")
 
     def handleInputRows(self, key, rows, timerValues):
-        table = pa.Table.from_pylist([row.asDict(recursive=True) for row in rows],
-                                     schema=self.schema).sort_by("arrival_seq")
+        columns = list(zip(*rows))
+        table = pa.Table.from_arrays([pa.array(values, field.type) for values, field in zip(
+            columns, self.schema)], schema=self.schema).sort_by("arrival_seq")
         stores, clock = self.totals.get() or (0, None)
         before, seeds = {}, []
         for check, lane in zip(self.checks, open_lanes(table, None, self.checks)):
@@ -66,11 +79,15 @@ class LaneProcessor(StatefulProcessor):
         lanes = open_lanes(table, pa.Table.from_pylist(seeds, schema=_SEEDS), self.checks)
         passed = walk(table.num_rows, lanes)
         for check, lane in zip(self.checks, lanes):
-            effects = lane.effects()
+            effects, stored = lane.effects(), []
             for parts, pieces, text in zip(*[effects[c].to_pylist() for c in ("key", "pieces", "text")]):
                 if pieces or text is not None:
-                    self.states.updateValue((check.name, json.dumps(parts)), self._after(
-                        check, before[check.name, tuple(parts)], pieces, text, stores, clock))
+                    name, state = json.dumps(parts), before[check.name, tuple(parts)]
+                    after = self._after(check, state, pieces, text, stores, clock)
+                    self.states.updateValue((check.name, name), after)
+                    if isinstance(check, Uniqueness) and after != state:
+                        stored.append((*after[:2], name))
+            self._file(sorted(stored))
         for check, lane in zip(self.checks, lanes):
             if check.name == UNIQUENESS and lane.stores:
                 stores, clock = stores + lane.stores, lane.last_clock
@@ -93,14 +110,36 @@ class LaneProcessor(StatefulProcessor):
             found = check.placed(found, stores, clock)
         return *check.after(state and state[:2], found), None
 
+    def _file(self, stored: list[tuple[int, int, str]]) -> None:
+        """Put keys, in the order of their stores, into the slots of the index."""
+        for slot, some in groupby(stored, key=lambda entry: entry[0] // self.slot_stores):
+            entries = list(some)
+            held = self.slots.getValue((slot,)) if self.slots.containsKey((slot,)) else None
+            names = [name for _, _, name in entries]
+            self.slots.updateValue((slot,), ([*held[0], *names] if held else names, entries[-1][1]))
+            if not self.oldest.exists():
+                self.oldest.update((slot,))
+
     def _forget(self, check: Check, stores: int, clock: int) -> None:
-        """Remove stored ids that are no longer live, once per micro-batch."""
-        if check.cap is None and check.ttl_ms is None:
+        """Remove stored ids that are no longer live, in slots that are dead as a whole."""
+        if (check.cap is None and check.ttl_ms is None) or not self.oldest.exists():
             return
-        dead = [key for key, value in self.states.iterator() if key[0] == check.name
-                and check.seed(tuple(value)[:2], stores, clock) is None]
-        for key in dead:
-            self.states.removeKey(tuple(key))
+        slot = first = self.oldest.get()[0]
+        while slot < stores // self.slot_stores:
+            if self.slots.containsKey((slot,)):
+                names, time = self.slots.getValue((slot,))
+                last = (slot + 1) * self.slot_stores - 1
+                if not check.is_dead(last, time, stores, clock):
+                    break
+                for name in names:
+                    state = self.states.getValue((check.name, name))
+                    # A key that was stored again since is in a later slot, too.
+                    if state is not None and state[0] // self.slot_stores == slot:
+                        self.states.removeKey((check.name, name))
+                self.slots.removeKey((slot,))
+            slot += 1
+        if slot != first:
+            self.oldest.update((slot,))
 
 
 def verify_stream(records: DataFrame, lane: str = "partition",

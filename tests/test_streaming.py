@@ -12,6 +12,8 @@ from sluicegate.sources.records import load_records
 from sluicegate.streaming.consumer import (Consumer, state_keys, state_offsets, state_watermarks)
 from sluicegate.streaming.lanes import lane_column, verify_stream
 from tests.conftest import SF_SMALL, in_order
+from tests.model import judge
+from tests.test_chain import as_model, random_rows
 
 
 def slices(spark, path, n):
@@ -119,6 +121,23 @@ def test_lanes_equal_batch(spark, tmp_path):
     assert in_order(got, *columns) == in_order(batch, *columns)
 
 
+def test_lane_stores_forget(spark, make_records, tmp_path):
+    """Small stores over several micro-batches and slots of the index; each lane is a store."""
+    rows = random_rows(21, 400, 3, 25, 0.2)
+    checks = default_checks(50, 8, 90)
+    for at in range(0, 400, 100):
+        write_table(make_records(rows).where(f"arrival_seq >= {at} and arrival_seq < {at + 100}")
+                    .coalesce(1), str(tmp_path / "in"), "append")
+    verdicts = verify_stream(stream_records(spark, str(tmp_path / "in"), 1), checks=checks)
+    query = verdict_stream(verdicts, str(tmp_path / "out"), str(tmp_path / "checkpoint"))
+    query.trigger(availableNow=True).start().awaitTermination()
+    got = dict(zip(*zip(*in_order(spark.read.parquet(str(tmp_path / "out")), "arrival_seq", "failed_by"))))
+    for part in (0, 1):
+        own = [i for i, row in enumerate(rows) if row["part"] == part]
+        want, *_ = judge(as_model([rows[i] for i in own]), 50, 8, 90)
+        assert [got[i] for i in own] == want
+
+
 def test_sender_lanes_see_ids_across_partitions(spark, make_records, tmp_path):
     from tests.conftest import uid
     rows = [{"sender": "s1", "id": uid(1), "part": 0, "off": 0},
