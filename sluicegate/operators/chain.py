@@ -55,10 +55,9 @@ def _keys_in_several_chunks(rows: DataFrame, every_key: bool) -> DataFrame:
     if every_key:
         found = ids.distinct()
     else:
-        shared = materialise(
-            ids.groupBy(*names).agg(F.min("chunk").alias("lo"), F.max("chunk").alias("hi"))
-            .where("lo < hi").select(*names), "shared")
-        # Spark takes the side's size in bytes to choose the kind of join.
+        shared = (ids.groupBy(*names).agg(F.min("chunk").alias("lo"), F.max("chunk").alias("hi"))
+                  .where("lo < hi").select(*names))
+        # Spark takes the side's size at run time to choose the kind of join.
         found = ids.join(shared, names, "left_semi").distinct()
     return found.select("chunk", F.lit(O.UNIQUENESS).alias("check"),
                         F.array(*names).alias("key"),
@@ -116,12 +115,12 @@ def verify_chain(normalised: DataFrame, checks: list[Check] | None = None,
         # A lone chunk started from the state, and nothing comes before it.
         if _seeds_settled_at_once(checks) or cut.chunks == 1:
             break
-        changed = current.where(~F.col("used").eqNullSafe(F.col("seed"))).select("chunk").distinct()
+        changed = materialise(current.where(~F.col("used").eqNullSafe(F.col("seed")))
+                              .select("chunk").distinct(), "changed")
         if changed.isEmpty():
             break
         if passes > cut.chunks:
             raise RuntimeError("the chain does not settle: is arrival_seq unique and stable?")
-        changed = materialise(changed, "changed")
         again = fold_effects(rows.join(changed, "chunk", "left_semi"),
                              current.join(changed, "chunk", "left_semi"), checks)
         effects = materialise(again.unionByName(effects.join(changed, "chunk", "left_anti")),

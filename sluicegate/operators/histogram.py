@@ -89,13 +89,18 @@ def histogram(df: DataFrame, value: Column, bounds: Sequence[float]) -> DataFram
 
 def compare_bounds(df: DataFrame, value: Column,
                    methods: dict[str, Sequence[float]]) -> DataFrame:
-    """How well each bound set spreads a column, from one scan of it."""
+    """How well each bound set spreads a column, from one scan of it.
+
+    Places in all sets rise with the value, so rows are first counted by all places at once: there
+    are no more combinations than bounds.
+    """
     columns = {f"_{i}": bounds for i, bounds in enumerate(methods.values())}
     indexes = F.array(*[F.struct(F.lit(name).alias("method"), F.col(column).alias("bucket"))
                         for name, column in zip(methods, columns)])
     counts = (with_buckets(_numbers(df, value), "_value", columns)
-              .select(F.explode(indexes).alias("b"))
-              .groupBy("b.method", "b.bucket").agg(F.count("*").alias("n")))
+              .groupBy(*columns).agg(F.count("*").alias("n"))
+              .select(F.explode(indexes).alias("b"), "n")
+              .groupBy("b.method", "b.bucket").agg(F.sum("n").alias("n")))
     spread = counts.groupBy("method").agg(
         F.count("*").alias("occupied"), F.max("n").alias("largest"), F.sum("n").alias("n_rows"))
     shape = F.array(*[F.struct(
