@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import headers as H
+from .functions.outcomes import UNIQUENESS
 from .operators import bloom, histogram, keystore, reports, single
 from .operators import normalize as N
 from .operators.chain import verify_chain
@@ -18,7 +19,7 @@ from .sources import kafka
 from .sources.envelope import RECORD_SCHEMA, stream_records, verdict_stream
 from .sources.records import load_records
 from .streaming.consumer import Consumer, state_keys, state_offsets, state_watermarks
-from .streaming.lanes import verify_stream
+from .streaming.lanes import lane_state, verify_stream
 
 HOUR_MS = 3_600_000
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -624,23 +625,45 @@ def _(spark, sf_dir):
 
 
 def _lane_stream(spark, sf_dir, checks):
-    """One lane per topic partition with keyed state."""
+    """One lane per topic partition with keyed state: the verdicts, and the state that is left."""
     other = with_settings(spark, {"spark.sql.streaming.stateStore.providerClass": ROCKSDB})
     path = Scratch(spark, "lanes").path("run")
     _records(spark, sf_dir).select(*RECORD_SCHEMA.names).write.parquet(f"{path}/in")
     verdicts = verify_stream(stream_records(other, f"{path}/in"), checks=checks)
     (verdict_stream(verdicts, f"{path}/out", f"{path}/checkpoint")
      .trigger(availableNow=True).start().awaitTermination())
-    return _place(spark.read.parquet(f"{path}/out"), *_VERDICT)
+    return spark.read.parquet(f"{path}/out"), lane_state(other, f"{path}/checkpoint", checks)
+
+
+NO_LIMITS = default_checks(cap=None, ttl_ms=None)
+SMALL_STORES = default_checks(cap=100, ttl_ms=100_000)
 
 
 @query("stream_lane_verify")
 def _(spark, sf_dir):
     """With a key store that forgets nothing."""
-    return _lane_stream(spark, sf_dir, default_checks(cap=None, ttl_ms=None))
+    return _place(_lane_stream(spark, sf_dir, NO_LIMITS)[0], *_VERDICT)
 
 
 @query("stream_lane_store")
 def _(spark, sf_dir):
     """With a key store per lane that forgets by size and age."""
-    return _lane_stream(spark, sf_dir, default_checks(cap=100, ttl_ms=100_000))
+    return _place(_lane_stream(spark, sf_dir, SMALL_STORES)[0], *_VERDICT)
+
+
+@query("stream_lane_offsets")
+def _(spark, sf_dir):
+    """The last accepted offsets, read from the stream's state store."""
+    return _place(state_offsets(_lane_stream(spark, sf_dir, NO_LIMITS)[1]), "topic", "partition",
+                  "latest_offset")
+
+
+@query("stream_lane_keys")
+def _(spark, sf_dir):
+    """The live keys of every lane, read from the stream's state store."""
+    state = _lane_stream(spark, sf_dir, SMALL_STORES)[1]
+    part = F.get_json_object("lane", "$.partition").cast("int").alias("part")
+    entry = F.col("pieces")[0]
+    return state.where(F.col("check") == UNIQUENESS).select(
+        part, F.col("key")[0].alias("sender_key"), F.col("key")[1].alias("message_id"),
+        entry["time"].alias("stored_ms"))

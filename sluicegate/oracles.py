@@ -395,6 +395,14 @@ from n where sender_raw is not null and sender_ts is not null group by all"""),
             "select arrival_seq, verdict, verified, failed_by from judged", custom=True),
         "stream_chain_verify": _chain(_VERDICTS),
         "stream_lane_verify": _chain(_VERDICTS, cap=10**9, ttl=10**15),
+        "stream_lane_offsets": _chain(offsets, cap=10**9, ttl=10**15),
+        "stream_lane_keys": _chain(f""",
+st as (select part, sender_key, message_id, max(ingest_ms) as stored_ms, max(arrival_seq) as stored_seq
+       {accepted} and sender_key is not null and message_id is not null group by all),
+placed as (select *, row_number() over (partition by part order by stored_seq desc) as place,
+             max(stored_ms) over (partition by part) as newest from st)
+select part, sender_key, message_id, stored_ms from placed
+where place <= 100 and newest - stored_ms <= 100000""", cap=100, ttl=100_000, lanes=True),
         "stream_lane_store": _chain(_VERDICTS, cap=100, ttl=100_000, lanes=True),
         "accepted_records": _chain(
             f"select arrival_seq, part, off, sender_raw, sender_ts, message_id {accepted}"),

@@ -12,7 +12,7 @@ import json
 from itertools import groupby
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -156,3 +156,34 @@ def verify_stream(records: DataFrame, lane: str = "partition",
     judged = keyed.groupBy("lane").transformWithState(
         LaneProcessor(checks, keyed.schema), output, "Append", "None")
     return with_outcomes(judged, checks).drop("lane")
+
+
+def lane_state(spark: SparkSession, checkpoint: str, checks: list[Check] | None = None) -> DataFrame:
+    """The lanes' states, read beside or after a stream: ``lane``, ``check``, ``key``, ``pieces``, ``text``.
+
+    They have the form of the consumer's state. Of stored keys only the live ones are returned.
+    """
+    checks = checks or default_checks()
+
+    def read(name: str) -> DataFrame:
+        return (spark.read.format("statestore").option("stateVarName", name).load(checkpoint)
+                .withColumn("lane", F.col("key.lane")))
+
+    nothing = F.lit(None).cast("bigint")
+    value = F.col("user_map_value")
+    states = read("states").select(
+        "lane", "user_map_key.check", F.from_json("user_map_key.key", "array<string>").alias("key"),
+        F.when(value["a"].isNotNull(), F.array(F.struct(
+            nothing.alias("x"), nothing.alias("y"), value["a"].alias("to"), value["b"].alias("time"))))
+        .alias("pieces"), value["text"].alias("text"))
+    store = next((c for c in checks if isinstance(c, Uniqueness)), None)
+    if store is None or (store.cap is None and store.ttl_ms is None):
+        return states
+    totals = read("totals").select("lane", "value.stores", "value.clock")
+    entry, dead = F.col("pieces")[0], F.lit(False)
+    if store.cap is not None:
+        dead = dead | (F.col("stores") - entry["to"] >= store.cap)
+    if store.ttl_ms is not None:
+        dead = dead | (F.col("clock") - entry["time"] > store.ttl_ms)
+    gone = (F.col("check") == UNIQUENESS) & F.coalesce(dead, F.lit(False))
+    return states.join(totals, "lane", "left").where(~gone).select(*states.columns)
