@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..plans.arrival import CHUNK_ROWS, chunk_column
 from ..plans.checks import BLOOM_FPP, STORE_SIZE, STORE_TTL_MS
 from ..plans.scratch import materialise
-from .bloom import build_bloom, might_contain
+from .bloom import build_bloom, with_maybe
 
 KEY = ["sender_key", "message_id"]
 
@@ -74,7 +74,8 @@ def exists(keys: DataFrame, store: DataFrame, prefilter: str = "none", cap: int
     """Add ``is_stored`` to every row of ``keys``.
 
     With ``prefilter="bloom"`` only keys that pass a Bloom filter of the store are compared;
-    the answer is the same. A store too large for the filter is an error, see ``build_bloom``.
+    the answer is the same. Spark's own run-time filter does that for large joins, so the plain join is
+    usually the faster one; the option is there for stores that are asked for much and hold little of it.
     """
     stored = store.select(*KEY).distinct().withColumn("_hit", F.lit(True))
     if prefilter == "none":
@@ -82,7 +83,7 @@ def exists(keys: DataFrame, store: DataFrame, prefilter: str = "none", cap: int
     if prefilter != "bloom":
         raise ValueError(f"unknown prefilter {prefilter!r}")
     stored = materialise(stored, "stored")
-    probed = keys.withColumn("_maybe", might_contain(build_bloom(stored, cap, fpp)))
+    probed = with_maybe(keys, build_bloom(stored, cap, fpp), "_maybe")
     other = stored.select(*[F.col(c).alias(f"_{c}") for c in KEY], "_hit")
     same = [F.col(c) == F.col(f"_{c}") for c in KEY]
     return (probed.join(other, [F.col("_maybe"), *same], "left")

@@ -74,10 +74,22 @@ def test_exists(spark, make_log, prefilter):
     assert got == {**{("s1", n): n < 50 for n in range(100)}, ("s2", 1): False}
 
 
-def test_exists_beyond_filter_size(spark, make_log):
+@pytest.mark.parametrize("block_bits", [64, 200])
+def test_exists_with_a_filter_of_many_blocks(spark, make_log, monkeypatch, block_bits):
+    monkeypatch.setattr(bloom, "BLOCK_BITS", block_bits)
+    assert bloom.bloom_shape(60).blocks > 3
+    store = keystore.upsert(make_log([("s1", n, n) for n in range(60)]))
+    probes = keys(spark, [("s1", n) for n in range(300)] + [("s2", 1)] * 300)
+    got = keystore.exists(probes, store, "bloom", 60)
+    assert {int(r.message_id[-12:]) for r in got.where("is_stored").collect()} == set(range(60))
+    assert got.count() == 600
+    maybe = bloom.with_maybe(probes, bloom.build_bloom(store, 60), "maybe").where(
+        "maybe and sender_key = 's1'").count()
+    assert 60 <= maybe < 90
+
+
+def test_exists_knows_its_filters(spark, make_log):
     store = keystore.upsert(make_log([("s1", 1, 0)]))
-    with pytest.raises(ValueError, match="too large"):
-        keystore.exists(keys(spark, [("s1", 1)]), store, "bloom", 10**9)
     assert keystore.exists(keys(spark, [("s1", 1)]), store).first()["is_stored"]
     with pytest.raises(ValueError):
         keystore.exists(keys(spark, [("s1", 1)]), store, "other")
@@ -92,6 +104,8 @@ def test_bloom_has_no_false_negatives_and_few_false_positives(spark):
     assert (shape.keys, shape.hashes) == (12_000, 7)
     assert abs(shape.bits + 12_000 * math.log(0.01) / math.log(2) ** 2) < 1
     found = bloom.build_bloom(numbered(0, 10_000))
-    test = bloom.might_contain(found)
-    assert numbered(0, 10_000).where(test).count() == 10_000
-    assert numbered(50_000, 10_000).where(test).count() < 150
+    def passing(rows):
+        return bloom.with_maybe(rows, found, "maybe").where("maybe").count()
+
+    assert passing(numbered(0, 10_000)) == 10_000
+    assert passing(numbered(50_000, 10_000)) < 150
