@@ -6,6 +6,7 @@ from tokenizers import Tokenizer
 from sluicegate.llm import quality
 from sluicegate.llm.tokens import public_file
 
+from .helpers import edge_rows, make_docs
 from .test_marking import brute_components, contaminated
 from .test_tokens import check_pieces, id_list
 
@@ -50,10 +51,30 @@ def test_run_gives_the_pieces_of_the_last_stage(spark):
     assert rows and {"doc_id", "start", "length", "sequence_id", "offset"} <= set(rows[0].asDict())
 
 
+def test_awkward_and_empty_tables(spark, tmp_path):
+    """Nulls, repeated rows, a long text and clashing columns; then no documents at all."""
+    labels = spark.createDataFrame([(1, 1, 0), (3, 0, 0), (7, 1, 1)],
+                                   "doc_id long, quality int, toxic int")
+    items = spark.createDataFrame([("a", "nothing of the kind stands there"), ("b", None)],
+                                  "item_id string, text string")
+    for name, rows in (("rows", edge_rows()), ("none", [])):
+        folder = str(tmp_path / name)
+        make_docs(spark, rows).write.parquet(f"{folder}/documents.parquet")
+        labels.write.parquet(f"{folder}/labels.parquet")
+        items.write.parquet(f"{folder}/benchmark.parquet")
+        got = corpus_pipeline.run(spark, folder).collect()
+        assert {r["doc_id"] for r in got} <= {i for i, _ in rows}
+        assert bool(got) == bool(rows)
+        docs = spark.read.parquet(f"{folder}/documents.parquet")
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            docs = stage(spark, docs, folder)
+            assert sorted(docs.columns) == sorted(make_docs(spark, []).columns)
+
+
 def test_registered_with_the_other_queries():
     import __spark_entry__ as contract
 
     names = set(contract.queries())
-    assert {f"op{n}_" for n in range(1, 11)} == {n.split("_")[0] + "_" for n in names
+    assert {f"op{n}_" for n in range(1, 14)} == {n.split("_")[0] + "_" for n in names
                                                  if n.startswith("op") and n[2].isdigit()}
     assert "pipeline" in names and len(corpus_pipeline.STAGES) == 5
