@@ -2,6 +2,11 @@
 
 Every stage takes all rows that the stage before it kept. A stage's result is written as Parquet
 in the shared scratch folder and read again, so a lost executor costs one stage at most.
+
+Defined results: a missing text counts as empty; empty texts equal each other, so of those that
+the classifier keeps one stays; rows without an id pass the stages that name documents by it and are
+packed; of rows that repeat id and text all stay; columns besides those of documents pass all stages
+but the last, whatever their names; very long texts are read whole; an empty table gives no rows.
 """
 
 from __future__ import annotations
