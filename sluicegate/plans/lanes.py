@@ -26,6 +26,12 @@ def integers(rows: pa.Table, name: str) -> np.ndarray:
     return rows.column(name).combine_chunks().fill_null(0).to_numpy().astype(np.int64)
 
 
+def _numbered(codes: np.ndarray) -> tuple[np.ndarray, int]:
+    """Numbers 0, 1, 2, ... in the order in which values first appear, and how many there are."""
+    encoded = pa.array(codes).dictionary_encode()
+    return encoded.indices.to_numpy().astype(np.int64), len(encoded.dictionary)
+
+
 class Keys:
     """Small integers for the composite keys of a chunk; -1 where a part is missing.
 
@@ -37,9 +43,8 @@ class Keys:
         given = np.asarray(seeds.flatten().to_numpy(zero_copy_only=False), dtype=object).reshape(
             more, len(columns)) if more else np.empty((0, len(columns)), object)
         missing = np.zeros(n + more, bool)
-        codes = np.zeros(n + more, np.int64)
+        codes, distinct = np.zeros(n + more, np.int64), 1
         self.parts = []
-        first = np.zeros(0, np.int64)
         for at, name in enumerate(columns):
             part = pa.concat_arrays([rows.column(name).cast(pa.string()).combine_chunks(),
                                      pa.array(given[:, at].tolist(), pa.string())])
@@ -48,10 +53,13 @@ class Keys:
             # Missing values get a code of their own, so no valid key shares one with them.
             n_values = len(encoded.dictionary)
             index = encoded.indices.fill_null(n_values).to_numpy().astype(np.int64)
-            codes = codes * (n_values + 1) + index
-            _, first, codes = np.unique(codes, return_index=True, return_inverse=True)
+            if distinct * (n_values + 1) > 1 << 62:
+                codes, distinct = _numbered(codes)
+            codes, distinct = codes * (n_values + 1) + index, distinct * (n_values + 1)
             self.parts.append(part)
-        self.size, self._first = len(first), first
+        codes, self.size = _numbered(codes)
+        self._first = np.flatnonzero(np.diff(np.maximum.accumulate(codes), prepend=-1)) if len(
+            codes) else codes
         codes = codes.copy()
         codes[missing] = -1
         self.rows, self.seeds = codes[:n], codes[n:]
