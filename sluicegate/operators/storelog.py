@@ -8,9 +8,10 @@ after it; keys that were dropped do not come back. The log is replayed in parall
 - After a store, the ``cap``-th newest entry that lasts is its *mark*. An entry is out as soon as a mark
   is above it. Entries that are out may be counted among those that last, since they are older than
   the mark that put them out, and only the highest mark so far matters.
-- Marks are found chunk by chunk. A chunk needs the newest entries that last at its start: ``cap``,
-  and one for each of them that ends inside the chunk. How many chunks back they are
-  follows from counts of entries by first and last chunk.
+- Marks are found chunk by chunk. A chunk needs the ``cap`` newest entries that last at its start. When
+  some of them end inside the chunk, an older one may become the ``cap``-th newest, but that one is
+  below a mark already. What lasts is carried over the chunks by a scan with levels, ``cap`` entries
+  a chunk at most, so neither a clear nor entries that last for long make a chunk look back far.
 - An entry is too old when the last store is later than its time by more than the age limit.
 
 Running values over the log are taken by chunk (see ``running_before``), so a key with a third of all
@@ -23,7 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,6 +36,7 @@ from .keystore import KEY
 
 STORE, REMOVE, CLEAR, EXISTS = "store", "remove", "clear", "exists"
 _NEVER = 1 << 62
+BLOCK = 64  # chunks, or blocks of the level below, that are swept in one task
 
 
 @dataclass(frozen=True)
@@ -128,38 +130,62 @@ def _lives(placed: DataFrame) -> DataFrame:
     ends = placed.where(F.col("kind").isin(STORE, REMOVE) & F.col("held_seq").isNotNull()).select(
         F.col("held_seq").alias("start"), F.col("chunk").alias("end_chunk"))
     return starts.join(ends, "start", "left").select(
-        "start", "chunk", "end_chunk",
+        "start", "chunk",
         F.coalesce(F.least("end_chunk", "clear_chunk"), F.lit(_NEVER)).alias("last_chunk"))
 
 
+def _newest(entries: DataFrame, cap: int) -> DataFrame:
+    """The ``cap`` newest entries of every place; older ones of a place are out at its end."""
+    newer = F.row_number().over(Window.partitionBy("at").orderBy(F.desc("start")))
+    return entries.withColumn("_newer", newer).where(F.col("_newer") <= cap).drop("_newer")
+
+
+def _sweep(cap: int, width: int):
+    """The newest entries that last at the start of every place of a block; carried ones come first."""
+    def run(rows: pa.Table) -> pa.Table:
+        block = rows.column("block")[0].as_py()
+        at, start, last, until = (rows.column(c).to_numpy() for c in ("at", "start", "last", "until"))
+        order = np.lexsort((start, at))
+        at, start, last = at[order], start[order], last[order]
+        held, ends, found = np.zeros(0, np.int64), np.zeros(0, np.int64), []
+        places = np.arange(block * BLOCK, min((block + 1) * BLOCK, int(until[0])))
+        borders = np.searchsorted(at, places, "left")  # the carried ones are filed before the block
+        done = 0
+        for place, border in zip(places.tolist(), borders.tolist()):
+            held = np.concatenate([held, start[done:border]])
+            ends, done = np.concatenate([ends, last[done:border]]), border
+            lasting = np.flatnonzero(ends // width >= place)[-cap:]
+            held, ends = held[lasting], ends[lasting]
+            found.append((np.full(len(held), place), held, ends))
+        return pa.table(dict(zip(("at", "start", "last"), (
+            np.concatenate([part[i] for part in found]) for i in range(3)))))
+
+    return run
+
+
+def _carried(entries: DataFrame, places: int, cap: int, width: int = 1) -> DataFrame:
+    """For every place the ``cap`` newest entries of earlier places that last at its start.
+
+    ``at`` is a place of ``width`` chunks and ``last`` a chunk. Places are swept by blocks, and a block
+    starts with what the same step on blocks finds for it, so a task gets a block of ``cap`` entries
+    a place at most, however many chunks there are and however long entries last.
+    """
+    entries = materialise(_newest(entries.where(F.expr(f"last div {width}L > at")), cap), "lasting")
+    blocked = entries.withColumn("block", F.expr(f"at div {BLOCK}L"))
+    if places > BLOCK:
+        blocks = -(-places // BLOCK)
+        upper = _carried(blocked.select(F.col("block").alias("at"), "start", "last"), blocks, cap,
+                         width * BLOCK)
+        blocked = blocked.unionByName(upper.select(
+            (F.col("at") * BLOCK - 1).alias("at"), "start", "last", F.col("at").alias("block")))
+    return blocked.withColumn("until", F.lit(places).cast("bigint")).groupBy("block").applyInArrow(
+        _sweep(cap, width), "at bigint, start bigint, last bigint")
+
+
 def _lasting_at_start(lives: DataFrame, chunks: int, cap: int) -> DataFrame:
-    """For every chunk the entries that last at its start, from as far back as they can matter."""
-    ended = (lives.where("end_chunk > chunk").groupBy(F.col("end_chunk").alias("at"))
-             .agg(F.count("*").alias("ended")))
-    cells = materialise(lives.where("last_chunk > chunk").groupBy("chunk", "last_chunk")
-                        .agg(F.count("*").alias("n")), "cells")
-    spark = lives.sparkSession
-    wanted = spark.range(1, chunks).select(F.col("id").alias("at")).join(ended, "at", "left").select(
-        "at", (F.coalesce("ended", F.lit(0)) + cap).alias("need"))
-    wanted, found, width = materialise(wanted, "wanted"), None, 1
-    while True:
-        behind = wanted.select("at", "need", F.explode(F.sequence(
-            F.greatest(F.lit(0), F.col("at") - width), F.col("at") - 1)).alias("chunk"))
-        held = (behind.join(cells, "chunk", "left").groupBy("at", "need").agg(
-            F.coalesce(F.sum(F.when(F.col("last_chunk") >= F.col("at"), F.col("n"))), F.lit(0))
-            .alias("have")))
-        enough = (F.col("have") >= F.col("need")) | (F.col("at") <= width)
-        state = materialise(held.withColumns({"enough": enough, "width": F.lit(width)}), "reach")
-        done = state.where("enough").select("at", "width")
-        found = done if found is None else found.unionByName(done)
-        wanted = state.where("not enough").select("at", "need")
-        if wanted.isEmpty():
-            break
-        width *= 2
-    reach = found.select("at", F.explode(F.sequence(
-        F.greatest(F.lit(0), F.col("at") - F.col("width")), F.col("at") - 1)).alias("chunk"))
-    return (reach.join(lives.where("last_chunk > chunk"), "chunk").where("last_chunk >= at")
-            .select(F.col("at").alias("chunk"), "start"))
+    """For every chunk the entries that last at its start and can still be a mark."""
+    entries = lives.select(F.col("chunk").alias("at"), "start", F.col("last_chunk").alias("last"))
+    return _carried(entries, chunks, cap).select(F.col("at").alias("chunk"), "start")
 
 
 def replay(log: DataFrame, cap: int | None = STORE_SIZE, ttl_ms: int | None = STORE_TTL_MS,

@@ -1,7 +1,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from sluicegate.operators import storelog
 from sluicegate.operators.storelog import replay
 
 SHAPE = "op_seq long, kind string, sender_key string, message_id string, op_ms long"
@@ -81,3 +83,25 @@ def test_room_made_by_a_removal(spark):
 def test_an_empty_log(spark):
     got = replay(spark.createDataFrame([], SHAPE))
     assert got.answers.count() == 0 and got.store.count() == 0
+
+
+@pytest.mark.parametrize("seed, cap, ids, clears", [(7, 7, 40, 0.005), (8, 30, 400, 0.0), (9, 3, 9, 0.05)])
+def test_lasting_entries_are_carried_over_levels_of_blocks(spark, monkeypatch, seed, cap, ids, clears):
+    monkeypatch.setattr(storelog, "BLOCK", 3)
+    ops = make_ops(seed, 500, ids, clears)
+    answers, store = model(ops, cap, None)
+    got = replay(spark.createDataFrame(ops, SHAPE), cap, None, 40)
+    assert {r["op_seq"]: r["is_stored"] for r in got.answers.collect()} == answers
+    assert {(r["sender_key"], r["message_id"], r["stored_ms"], r["stored_seq"])
+            for r in got.store.collect()} == store
+
+
+def test_a_chunk_starts_with_no_more_entries_than_the_store_holds(spark):
+    """Ten stores a chunk, cleared every 50 chunks: after a clear a store of 25 is not full."""
+    chunks = 300
+    lives = spark.range(10 * chunks).select(
+        "id", (F.col("id") / 10).cast("bigint").alias("chunk")).select(
+        F.col("id").alias("start"), "chunk", F.lit(None).cast("bigint").alias("end_chunk"),
+        (F.floor(F.col("chunk") / 50) * 50 + 49).alias("last_chunk"))
+    got = dict(storelog._lasting_at_start(lives, chunks, 25).groupBy("chunk").count().collect())
+    assert got == {c: min(25, 10 * (c % 50)) for c in range(chunks) if c % 50}
