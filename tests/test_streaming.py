@@ -111,6 +111,18 @@ def test_state_is_a_log(spark, tmp_path):
     assert got[0] == got[1]
 
 
+def test_state_has_only_keys_that_a_record_can_meet(spark, tmp_path):
+    """A batch of many keys writes those that its store still holds, not all that it saw."""
+    records = load_records(spark, SF_SMALL)
+    consumer = Consumer(str(tmp_path / "out"), default_checks(cap=20), 200)
+    for batch_id, side in enumerate(("arrival_seq < 500", "arrival_seq >= 500")):
+        consumer.process(records.where(side), batch_id)
+        written = spark.read.parquet(consumer._state_path(batch_id, "delta"))
+        assert written.where("check = 'uniqueness'").count() == 20
+    batch = verify_chain(normalise(records), default_checks(cap=20)).verdicts
+    assert in_order(consumer.verdicts(spark), "failed_by") == in_order(batch, "failed_by")
+
+
 def test_lanes_equal_batch(spark, tmp_path):
     checks = default_checks(cap=None, ttl_ms=None)
     list(slices(spark, str(tmp_path / "in"), 2))
