@@ -6,15 +6,18 @@
 2. A document that shares a bucket gets a signature: the two low bits of 512 minima, packed into
    1,024 bits. The bits that agree, corrected for chance collisions, estimate the similarity; a
    pair is a candidate if the estimate is at most five and a half standard deviations too low.
-3. A bucket never becomes a list of pairs. Each round takes four leaders of every bucket, by four
+3. The members of a bucket of at most eight are compared with each other at once. A larger bucket
+   never becomes a list of pairs. Each round takes four leaders of every such bucket, by four
    hashes, and every member keeps its likeliest leader of each kind: at most four pairs per
    document, whatever the size of its buckets. The full sets confirm them, and the links give
    labels. Buckets whose members all have one label are done; the others get another round
-   with other leaders as long as a round finds links.
-4. What is left is compared in full: all members with different labels in a bucket whose
-   estimate allows a link. First those go that cannot have any link, because too few of their
-   shingles occur under any other label; what stays is the rim of a family that no leader
-   reached, so no link between different components is lost.
+   with other leaders as long as a round links a fair share of their members.
+4. What is left is compared in full: all members with different labels in a bucket that may be a
+   link. First those go that cannot have any link, because too few of their shingles occur under
+   any other label; what stays is the rim of a family that no leader reached. A pair must pass
+   the estimate and a bound that holds for sure: the parities of 1,024 cells of two sets differ in
+   no more cells than the sets differ in shingles. So pairs just below the threshold are not even
+   listed, and no link between different components is lost.
 
 The chance that a link of similarity 0.8 shares no band is 5e-8; more similar pairs are safer.
 
@@ -43,11 +46,15 @@ LOW_BITS = 2
 SIGNATURE_WORDS = LANES * LOW_BITS // 64
 MARGIN = 0.116  # five and a half standard deviations of the estimate at a similarity of 0.8
 LEADERS = 4
+SMALL_BUCKET = 8  # members of a bucket that are compared with each other at once
+ROUND_SHARE = 20  # a round that links fewer than one in so many open members is the last
+PARITY_BITS = 10  # of a shingle's hash: its cell
+PARITY_WORDS = (1 << PARITY_BITS) // 64
 _SIGNATURES = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()),
                          ("set_a", pa.int64()), ("set_b", pa.int64()),
                          ("bands", pa.list_(pa.int64()))])
 _SETS = pa.schema([("doc_id", pa.int64()), ("bits", pa.list_(pa.int64())),
-                   ("shingles", pa.list_(pa.int64()))])
+                   ("parity", pa.list_(pa.int64())), ("shingles", pa.list_(pa.int64()))])
 _ODD_BITS = 0x5555555555555555
 
 
@@ -98,6 +105,13 @@ def pack_low_bits(low: np.ndarray) -> np.ndarray:
     return np.bitwise_or.reduce(lanes << shifts, axis=1)
 
 
+def cell_parities(values: np.ndarray) -> np.ndarray:
+    """One bit per cell of the hashes: whether an odd number of the values falls there."""
+    counts = np.bincount((values >> np.uint64(64 - PARITY_BITS)).astype(np.int64),
+                         minlength=1 << PARITY_BITS)
+    return np.packbits((counts & 1).astype(np.uint8)).view(np.int64)
+
+
 def signatures(docs: DataFrame, shingling: Shingling) -> DataFrame:
     """Set size, a 128-bit hash of the set, and band keys per document."""
     def work():
@@ -129,7 +143,7 @@ def signatures(docs: DataFrame, shingling: Shingling) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, shingling: Shingling) -> DataFrame:
-    """Packed signature and full set of every document that has words."""
+    """Packed signature, cell parities and full set of every document that has words."""
     def work():
         sets = _Sets(shingling.words)
         factors, terms = permutations(LANES, 2)
@@ -143,6 +157,7 @@ def shingle_sets(docs: DataFrame, shingling: Shingling) -> DataFrame:
             return {"doc_id": [doc for doc, _ in rows],
                     "bits": [pack_low_bits(minima(found, factors, terms)).astype(np.int64)
                              for _, found in rows],
+                    "parity": [cell_parities(found) for _, found in rows],
                     "shingles": [found.astype(np.int64) for _, found in rows]}
 
         return step
@@ -162,6 +177,17 @@ def estimate(a: str, b: str) -> Column:
     return (1 - differ / F.lit(float(LANES)) - chance) / (1 - chance)
 
 
+def surely_different(a: str, b: str) -> Column:
+    """A number of shingles that two sets do not share, from their parities; they may share fewer.
+
+    A cell whose parities differ holds a shingle that only one of the sets has.
+    """
+    differ = F.lit(0)
+    for at in range(PARITY_WORDS):
+        differ = differ + F.bit_count(F.col(a)[at].bitwiseXOR(F.col(b)[at]))
+    return differ
+
+
 def _confirm(pairs: DataFrame, sets: DataFrame, shingling: Shingling) -> DataFrame:
     """The pairs whose full sets have a link."""
     one = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b"))
@@ -190,24 +216,34 @@ def link_documents(docs: DataFrame, shingling: Shingling, scratch: Scratch) -> D
     scratch.free_shuffles()
 
     least = shingling.percent / 100 - MARGIN
-    labels, step = None, 0
+    small = F.col("n") <= SMALL_BUCKET
+    links = scratch.keep("links", _confirm(_small_pairs(rows.where(small), least), sets, shingling))
+    labels, step = None if links.isEmpty() else _merge_labels(None, links, scratch, 0), 1
+    rows = scratch.keep("rows-1", _open_rows(rows.where(~small).drop("n"), labels, scratch))
+    scratch.drop("rows-0")
+    scratch.free_shuffles()
     while not rows.isEmpty():
-        links = scratch.keep(f"links-{step}", _confirm(_stars(rows, step, least), sets, shingling))
-        full = links.isEmpty()
-        if full:
-            scratch.free_shuffles()
-            able = scratch.keep("able", _able(rows, sets, shingling))
-            rim = rows.join(able, "rep").join(classes.select("rep", "bands"), "rep")
-            links = scratch.keep(f"links-{step}", _confirm(
-                _all_differences(rim, least, shingling.percent), sets, shingling))
-            if links.isEmpty():
-                break
-        labels = _merge_labels(labels, links, scratch, step)
-        if full:
-            break
-        rows = scratch.keep(f"rows-{step + 1}", _open_rows(rows, labels))
-        scratch.drop(f"rows-{step}", f"links-{step}")
+        links = scratch.keep("links", _confirm(_stars(rows, step, least), sets, shingling))
+        found = links.count()
+        last = found * ROUND_SHARE < rows.agg(F.approx_count_distinct("rep")).first()[0]
+        if found:
+            labels = _merge_labels(labels, links, scratch, step)
+            rows = scratch.keep(f"rows-{step + 1}", _open_rows(rows, labels, scratch))
+            scratch.drop(f"rows-{step}", f"labels-{step - 1}")
         step += 1
+        scratch.free_shuffles()
+        if last:
+            break
+    if not rows.isEmpty():
+        able = scratch.keep("able", _able(rows, sets, shingling))
+        # Once per member, then once per row of it; both sides of the comparison read the result.
+        facts = able.join(classes.select("rep", "bands"), "rep").join(
+            sets.select(F.col("doc_id").alias("rep"), "parity"), "rep")
+        rim = scratch.keep("rim", rows.join(facts, "rep"))
+        links = scratch.keep("links", _confirm(
+            _all_differences(rim, least, shingling.percent), sets, shingling))
+        if not links.isEmpty():
+            labels = _merge_labels(labels, links, scratch, step)
     named = classes.select("set_a", "set_b", "n_shingles", F.col("rep").alias("component_id"))
     if labels is not None:
         named = (named.join(labels, F.col("component_id") == F.col("node"), "left")
@@ -221,13 +257,21 @@ def link_documents(docs: DataFrame, shingling: Shingling, scratch: Scratch) -> D
 
 
 def _shared_buckets(classes: DataFrame) -> DataFrame:
-    """(bucket, class) of the buckets that hold several classes."""
+    """(bucket, class) of the buckets that hold several classes; ``n`` is how many."""
     rows = classes.select("rep", F.explode("bands").alias("bucket"))
-    several = (rows.groupBy("bucket").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"))
-               .where("lo < hi").select("bucket"))
+    several = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     return rows.join(several, "bucket")
 
 
+def _small_pairs(rows: DataFrame, least: float) -> DataFrame:
+    """All pairs of a small bucket's members that may be links."""
+    other = rows.select(F.col("bucket").alias("bucket_2"), F.col("rep").alias("rep_2"),
+                        F.col("bits").alias("bits_2"))
+    return (rows.join(other, (F.col("bucket") == F.col("bucket_2"))
+                      & (F.col("rep") < F.col("rep_2")) & (estimate("bits", "bits_2") >= least))
+            .select(F.col("rep").alias("a"), F.col("rep_2").alias("b")).distinct())
+
+
 def _stars(rows: DataFrame, step: int, least: float) -> DataFrame:
     """Per member and kind of leader the likeliest link to a leader of another label."""
     picks = [F.min(F.struct(F.xxhash64("rep", F.lit(step * LEADERS + at)).alias("h"), "rep",
@@ -268,24 +312,32 @@ def _all_differences(rows: DataFrame, least: float, percent: int) -> DataFrame:
     """Every pair with different labels that shares a bucket and may be a link.
 
     Two sets share at most the shingles that either has in common with other labels, and their
-    union has all the rest; that bounds the similarity exactly. A pair comes out of the smallest
-    bucket that it shares, so once only.
+    union has all the rest; that bounds the similarity exactly, and so do the parities. A pair
+    comes out of the smallest bucket that it shares, so once only; small buckets were compared
+    before.
     """
     other = rows.select(*[F.col(c).alias(f"{c}_2")
-                          for c in ("bucket", "rep", "label", "bits", "bands", "k", "size")])
+                          for c in ("bucket", "rep", "label", "bits", "bands", "parity", "k", "size")])
     most = F.least("k", "k_2")
+    differ = surely_different("parity", "parity_2")
     return (rows.join(other, (F.col("bucket") == F.col("bucket_2"))
                       & (F.col("label") < F.col("label_2"))
                       & (100 * most >= percent * (F.col("size") + F.col("size_2") - most))
+                      & ((100 + percent) * differ
+                         <= (100 - percent) * (F.col("size") + F.col("size_2")))
                       & (estimate("bits", "bits_2") >= least)
                       & (F.array_min(F.array_intersect("bands", "bands_2")) == F.col("bucket")))
             .select(F.col("rep").alias("a"), F.col("rep_2").alias("b")))
 
 
-def _open_rows(rows: DataFrame, labels: DataFrame) -> DataFrame:
+def _open_rows(rows: DataFrame, labels: DataFrame | None, scratch: Scratch) -> DataFrame:
     """Members with their new labels, of the buckets that still have more than one."""
-    new = (rows.drop("label").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-           .withColumn("label", F.coalesce("label", "rep")))
+    new = rows
+    if labels is not None:
+        # Written, as it is read twice.
+        new = scratch.keep("labelled", rows.drop("label").join(
+            labels.withColumnRenamed("node", "rep"), "rep", "left")
+            .withColumn("label", F.coalesce("label", "rep")))
     several = (new.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
                .where("lo < hi").select("bucket"))
     return new.join(several, "bucket")

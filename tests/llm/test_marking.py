@@ -189,6 +189,39 @@ def test_links_that_only_the_full_comparison_finds(spark):
     assert len(set(want.values())) > 1
 
 
+def test_pairs_just_below_the_threshold_are_not_listed(spark, monkeypatch):
+    """Copies that are about 0.73 alike, whose edits each occur in several of them."""
+    rng = random.Random(6)
+    rows = []
+    for i in range(120):
+        words = [f"w{k}" for k in range(160)]
+        for at in rng.sample(range(4, 156, 8), 3):
+            words[at] = f"v{at}"
+        rows.append((i, " ".join(words)))
+    want, _ = brute_components(rows, 4, 80)
+    listed, confirm = [], near_dedup._confirm
+
+    def count(pairs, *rest):
+        listed.append(pairs.count())
+        return confirm(pairs, *rest)
+
+    monkeypatch.setattr(near_dedup, "_confirm", count)
+    got = near_dedup.mark_near_duplicates(
+        make_docs(spark, rows), near_dedup.Shingling(4, 80)).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == want
+    assert sum(listed) < 6 * len(rows)
+
+
+def test_parities_never_differ_more_than_the_sets():
+    rng = np.random.default_rng(3)
+    for n in (1, 50, 3_000):
+        one = np.unique(rng.integers(0, 1 << 63, n, np.uint64) * np.uint64(2))
+        two = np.unique(np.append(one[n // 3:], rng.integers(0, 1 << 63, n // 4 + 1, np.uint64)))
+        either = near_dedup.cell_parities(one) ^ near_dedup.cell_parities(two)
+        differ = sum(int(word).bit_count() for word in either.view(np.uint64).tolist())
+        assert differ <= len(np.setxor1d(one, two))
+
+
 def test_estimate_is_close(spark):
     one = random_text(random.Random(1), 400, 5_000)
     words = one.split()
