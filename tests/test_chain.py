@@ -1,6 +1,7 @@
 import random
 from functools import reduce
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -265,3 +266,33 @@ def test_custom_check(make_records, chunk_rows):
                                            "FAILED_QUOTA", "FAILED_QUOTA", "SUCCESS"]
     # Equal priorities keep their order: offset ran before the quota check.
     assert in_order(judged, "offset_outcome")[3] == "in_order"
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_chunks_of_a_run_start_from_one_another(seed):
+    """From the start of the order on, the first pass of a run is right already."""
+    rnd = random.Random(seed)
+    n, size, cap = 300, 10, 15
+    rows = pa.table({
+        "arrival_seq": pa.array(range(n)), "chunk": pa.array([i // size for i in range(n)]),
+        "topic": ["t"] * n, "partition": [rnd.randrange(2) for _ in range(n)],
+        "offset": [i - rnd.choice((0, 0, 0, 15)) for i in range(n)],
+        "sender_raw": [rnd.choice(("a", "b", "c", None)) for _ in range(n)],
+        "sender_key": ["a"] * n, "message_id": [str(rnd.randrange(25)) for _ in range(n)],
+        "ingest_ms": pa.array([i * 10 for i in range(n)])})
+    quota = CombiningCheck("quota", 2, ("sender_raw",), lambda row, n: (n or 0) < 15, lambda row: 1,
+                           lambda a, b: a + b)
+    checks = [Uniqueness(cap, 250), OffsetOrder(), quota]
+    ids = rows.select(["chunk", "message_id"]).group_by(["chunk", "message_id"]).aggregate([]).to_pylist()
+    seeds = pa.table({"chunk": [r["chunk"] for r in ids], "check": ["uniqueness"] * len(ids),
+                      "key": [["a", r["message_id"]] for r in ids], "seed": pa.nulls(len(ids), fold.STATE)})
+    failed = []
+
+    def judge(part, starts):
+        failed.extend(fold._verdict_table(part, starts, checks).column("failed_by").to_pylist())
+        return fold._effect_table(part, starts, checks)
+
+    fold.each_chunk(rows, seeds, judge, fold.Onward(checks))
+    want = fold._verdict_table(rows, None, checks).column("failed_by").to_pylist()
+    assert failed == want
+    assert {"uniqueness", "offset", "quota"} <= set(want)
