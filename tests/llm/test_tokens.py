@@ -5,6 +5,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
@@ -190,3 +191,18 @@ def test_a_word_is_encoded_once_whatever_stands_around_it(name, monkeypatch):
     work.encode(texts)
     assert len([part for part in seen if "threan" in part]) <= 2
     assert len(seen) == len(set(seen))
+
+
+def test_packing_encodes_each_run_of_letters_once(monkeypatch):
+    work, seen = Encoder(FILES["byte_bpe_50k.json"]), []
+    monkeypatch.setattr(work, "_learn", lambda parts, learn=work._learn: (seen.extend(parts), learn(parts))[1])
+    monkeypatch.setattr(packing, "encoder", lambda path: lambda: work)
+    steps = []
+    monkeypatch.setattr(packing, "map_texts", lambda docs, step, schema: steps.append(step()))
+    packing.tokenise(None, FILES["byte_bpe_50k.json"], 1)
+    texts = [f"so threan{sign} so".encode() for sign in ",.;:!?)]}"]
+    rows = steps[0](pa.RecordBatch.from_pydict({"doc_id": range(9), "text": texts}))
+    library = Tokenizer.from_file(FILES["byte_bpe_50k.json"])
+    assert [np.frombuffer(ids, "<u2").tolist() for ids in rows["ids"]] == [
+        id_list(library, text.decode(), 1).tolist() for text in texts]
+    assert seen.count(" threan") == 1 and sum("threan" in part for part in seen) == 1
