@@ -50,6 +50,8 @@ _PLAIN = bytes(46 if c in _BORDERS else 32 if c == 9 else c + 32 if 65 <= c <= 9
                for c in range(256))
 # ``gram`` is the language, quoted so that it has no space, and the words, each with a space after it.
 _RECORDS = pa.schema([("gram", pa.binary()), ("salt", pa.int32()), ("n", pa.int64())])
+# Records travel with these bytes as a string: Spark sorts strings in place, binary values by copies.
+_SENT = _RECORDS.set(0, pa.field("gram", pa.string()))
 _PARTS = pa.schema([("lang", pa.string()), ("gram", pa.binary()), ("words", pa.int32()),
                     ("n", pa.int64())])
 _MARKER = -1
@@ -112,7 +114,8 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, texts in by_lang.items():
             records = _records(texts, lang, hashes)
             if records is not None:
-                yield records
+                gram, *rest = records.columns
+                yield pa.RecordBatch.from_arrays([gram.view(pa.string()), *rest], schema=_SENT)
 
 
 class _Open:
@@ -142,6 +145,7 @@ def _flow(min_count: int):
 
 def _by_language(batch: pa.RecordBatch) -> Iterator[tuple[bytes, pa.RecordBatch]]:
     """Runs of sorted records of a language, without it."""
+    batch = batch.set_column(0, "gram", batch.column("gram").cast(pa.binary()))
     start = 0
     while start < batch.num_rows:
         rest = batch.slice(start)
@@ -225,8 +229,8 @@ def phrase_counts(docs: DataFrame, scratch: Scratch, min_count: int = MIN_COUNT)
     """``lang``, ``gram``, ``words``, ``n``: all words, and phrases that occur ``min_count`` times."""
     texts = docs.select(F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"),
                         F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"))
-    records = texts.mapInArrow(_read, from_arrow_schema(_RECORDS))
-    pair = F.substring_index(F.col("gram").cast("string"), " ", 3)  # with its language
+    records = texts.mapInArrow(_read, from_arrow_schema(_SENT))
+    pair = F.substring_index("gram", " ", 3)  # with its language
     placed = records.repartition(pair, F.greatest("salt", F.lit(0))).sortWithinPartitions("gram")
     parts = scratch.keep("parts", placed.mapInArrow(_flow(min_count), from_arrow_schema(_PARTS)))
     counts = (parts.groupBy("lang", F.col("gram").cast("string").alias("gram"), "words")

@@ -109,6 +109,25 @@ def test_counts_of_dealt_out_pairs(monkeypatch, parts):
         g: n for g, n in want.items() if n >= 6 or " " not in g}
 
 
+def test_records_are_sorted_as_strings_in_byte_order(spark):
+    """Binary values are copied for each comparison of a sort; also bytes that are no UTF-8 add up."""
+    from pyspark.sql import functions as F
+
+    marks = ["00", "7A", "C3A9", "EFBFBD", "F09F9982", "FF", "C328"]  # the last two are no UTF-8
+    text = F.expr("cast(unhex(mark) as string)")
+    docs = spark.createDataFrame([(6 * i + j, m) for i, m in enumerate(marks) for j in range(6)],
+                                 "doc_id long, mark string").select(
+        "doc_id", F.concat(F.lit("a "), text, F.lit(" b")).alias("text"), F.lit("en").alias("lang"))
+    counts = collocations.phrase_counts(docs.repartition(4), Scratch(spark, "t"), 6)
+    got = {(r["gram"], r["words"], r["n"]) for r in counts.select(
+        F.hex("gram").alias("gram"), "words", "n").collect()}
+    want = {("61", 1, 42), ("62", 1, 42)}
+    for m in marks:
+        want |= {(m, 1, 6), (f"6120{m}", 2, 6), (f"{m}2062", 2, 6), (f"6120{m}2062", 3, 6)}
+    assert got == want
+    assert collocations._SENT.field("gram").type == pa.string()
+
+
 def test_paths_hold_whole_passages(spark):
     passage = "one two three four five six seven eight nine"
     docs = [("en", f"{passage}. {i} {passage} {i}! two three four five") for i in range(6)]
